@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import chat, decontam, langid, partenum, pfair, rollup, secret_scan
+from corpusgraph.llm import chat, decontam, hpyp, langid, partenum, permindex, pfair, quality, rollup, secret_scan
 from corpusgraph.llm.staging import shared_dir
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hpyp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpyp.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return pfair.mixed(docs).select("doc_id", "source", "block", "position_in_block", "slot", "release", "deadline")
@@ -38,6 +42,12 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.maintained(docs, labels, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host and path are the document's source, and its language within the source: documents have no address."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    return quality.classify(docs, _table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +60,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mix, op3_language_id, op4_preference_format, op5_token_rollup, op7_decontamination, op8_ngram_jaccard, op9_secret_scan)}
+def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permindex.search(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hpyp_score, op2_source_mix, op3_language_id, op4_preference_format, op5_token_rollup, op6_quality, op7_decontamination, op8_ngram_jaccard, op9_secret_scan, op10_permutation_search)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
