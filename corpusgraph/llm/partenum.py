@@ -23,7 +23,7 @@ from corpusgraph.llm.components import components
 from corpusgraph.llm.staging import staged
 from corpusgraph.llm.words import U, blocks, mix, shingles
 
-SKETCH = 32  # counts in a set's sketch
+PARITY = 16  # 64-bit words of a set's parity sketch
 FILTER_BITS = 1 << 25  # fixed size of the filter of wanted sets: 4 MB, whatever the input
 
 
@@ -98,19 +98,20 @@ def _node(items: np.ndarray) -> int:
 
 
 def _described(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("chk", pa.int64()), ("sketch", pa.list_(pa.int16()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("chk", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             size, node, chk = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            sketch = np.zeros((n, SKETCH), np.int16)
+            sketch = np.zeros((n, PARITY), np.int64)
             for i, items in _sets(batch.column("text"), width):
                 size[i], node[i] = len(items), _node(items)
                 chk[i] = np.sum(mix(items + U(0xE7037ED1A0B428DB)), dtype=np.uint64).view(np.int64)
-                sketch[i] = np.minimum(np.bincount((items >> U(59)).astype(np.int64), minlength=SKETCH), 30000)
+                odd = np.bincount((items >> U(54)).astype(np.int64), minlength=64 * PARITY) & 1
+                sketch[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
             none = size == 0
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(chk, mask=none), pa.ListArray.from_arrays(np.arange(0, (n + 1) * SKETCH, SKETCH, dtype=np.int32), sketch.ravel())], schema=schema)
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(chk, mask=none), pa.ListArray.from_arrays(np.arange(0, (n + 1) * PARITY, PARITY, dtype=np.int32), sketch.ravel())], schema=schema)
 
     return run
 
@@ -186,21 +187,26 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets really are similar: their sets are made again from the texts and compared."""
-    pairs = staged(pairs)
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = staged(nodes.join(ends, "node", "left_semi").select("doc_id"))
-    spread = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets really are similar: the sets of documents da and db are made again and compared."""
+    ends = pairs.select(F.col("da").alias("d")).unionAll(pairs.select("db"))
+    spread = docs.sparkSession.sparkContext.broadcast(_filter_of(ends))
 
     def run(batches):
         yield from _wanted(width, spread.value)(batches)
 
     sets = docs.mapInArrow(run, "node long, items array<long>")
-    sets = sets.join(ends, "node", "left_semi").dropDuplicates(["node"])
     left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    found = pairs.select("a", "b").join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both))
+    return found.select("a", "b").distinct()
+
+
+def _possible(percent: int):
+    """What sizes and parity sketches of a and b allow: sketches differ in no more bits than the sets in elements."""
+    apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("pa", F.lit(0)).bitwiseXOR(F.get("pb", F.lit(0)))))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
@@ -210,41 +216,41 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     union. component_id is the smallest doc_id that links reach. n_links counts the links that were verified at the
     document's set, not all partners. Documents with equal sets share one node. Each signature's sets are first compared
     with the set that shares most signatures; after that, only sets of one signature that aren't connected yet are
-    compared with each other, so every link between components is found without all pairs of a group.
+    compared with each other, so every link between components is found without all pairs of a group. Before sets are
+    compared, their sizes and 1024-bit parity sketches must allow the similarity.
 
     Null and blank texts have an empty set (n_shingles 0) and are their own component; repeated doc_ids count as rows of
     one document; a null doc_id gives a null component_id of its own unless linked. Two different sets with one 64-bit
     node hash are an error, never a wrong link. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = staged(docs.mapInArrow(_described(width), "doc_id long, n_shingles long, node long, chk long, sketch array<short>"))
+    known = staged(docs.mapInArrow(_described(width), "doc_id long, n_shingles long, node long, chk long, sketch array<long>"))
     nodes = staged(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("chk").alias("c1"), F.max("chk").alias("c2"), F.max("n_shingles").alias("n2")))
     if nodes.where("c1 <> c2 or n <> n2").limit(1).count():
         raise ValueError("two different sets share a 64-bit hash: change the constants of _node")
     signed = docs.select("text").mapInArrow(_signed(width, percent), "sig long, node long")
     bucket = W.partitionBy("sig")
-    shared = signed.select("*", F.min("node").over(bucket).alias("lo"), F.max("node").over(bucket).alias("hi")).where("lo <> hi").select("sig", "node")
-    shared = staged(shared.distinct())
-    heavy = shared.select("node", F.count("*").over(bucket).alias("many")).groupBy("node").agg(F.sum("many").alias("weight"))
+    met = signed.select("*", F.min("node").over(bucket).alias("lo"), F.max("node").over(bucket).alias("hi"), F.count("*").over(bucket).alias("many"))
+    shared = staged(met.where("lo <> hi").groupBy("sig", "node").agg(F.first("many").alias("many")))
+    weight = shared.groupBy("node").agg(F.sum("many").alias("weight"))
     first = F.first("node").over(bucket.orderBy(F.desc("weight"), "node"))
-    led = shared.join(heavy, "node").select(first.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    small = nodes.select("node", "n")
-    sized = led.join(small.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(small.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    led = staged(sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
-    edges = staged(_linked(docs, led, nodes, width, percent))
+    led = shared.select("sig", "node").join(weight, "node").select(first.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    known_as = lambda e: nodes.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"p{e}"), F.col("doc_id").alias(f"d{e}"))
+    led = staged(led.join(known_as("a"), "a").join(known_as("b"), "b").where(_possible(percent)).select("a", "b", "da", "db"))
+    edges = staged(_linked(docs, led, width, percent))
     group = staged(components(edges))
     mine = shared.join(group, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
     apart = mine.select("*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi")).where("lo <> hi").select("sig", "node", "comp")
-    apart = apart.join(nodes.select("node", "n", "sketch"), "node")
-    x, y = (apart.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "sketch")]) for s in "xy")
-    gap = F.aggregate(F.zip_with("sketch_x", "sketch_y", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
-    near = (F.col("comp_x") < F.col("comp_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * gap <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
-    rest = x.join(y, (x["sig"] == y["sig"]) & near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    tried = led.unionAll(led.select(F.col("b"), F.col("a")))
+    apart = apart.join(nodes.select("node", "n", "sketch", "doc_id"), "node")
+    x, y = (apart.select("sig", F.col("node").alias(e), F.col("comp").alias(f"c{e}"), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"p{e}"), F.col("doc_id").alias(f"d{e}")) for e in "ab")
+    rest = x.join(y, (x["sig"] == y["sig"]) & (F.col("ca") < F.col("cb")) & _possible(percent)).select("a", "b", "da", "db").distinct()
+    tried = led.select("a", "b").unionAll(led.select(F.col("b"), F.col("a")))
     rest = staged(rest.join(tried, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        edges = staged(edges.unionAll(_linked(docs, rest, nodes, width, percent)))
-        group = staged(components(edges))
+        more = staged(_linked(docs, rest, width, percent))
+        if more.limit(1).count():
+            edges = edges.unionAll(more)
+            group = staged(components(edges))
     links = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     member = nodes.select("node", "doc_id").join(group, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))

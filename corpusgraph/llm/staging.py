@@ -25,9 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage is cut and survives lost executors."""
+def staged(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: the lineage is cut and survives lost executors.
+
+    rows, where the caller knows about how many small ones there are, keeps them in as few files as that takes.
+    """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(1, -(-rows // 200_000)))
     at = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(at)
