@@ -252,7 +252,7 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
 
     state_rows = staged(docs.mapInArrow(deal, _DEALT_SQL).groupBy("bucket").applyInArrow(gathered, _STATE_SQL))
     first = _exchange(state_rows)
-    if not np.size(first["some"]) or not first["customers"].size:
+    if not np.ndim(first["some"]):
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     ones, twos, lone, pairs, kinds = first["some"]
     lone, pairs = lone + (first["heavy_tables"] == 1).sum(), pairs + (first["heavy_tables"] == 2).sum()

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +101,8 @@ def fit(texts: dict[str, list[str]], order: int = 4, slack: float = 1.6) -> Mode
     cross-entropies.
     """
     languages = sorted(texts)
+    if not languages:
+        return Model([], order, [], [], np.zeros(0), np.zeros(0))
     codes: dict[int, np.ndarray] = {}  # characters of each distinct n-gram of any language, by n
     counts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in range(1, order + 1)}
     joined = {lang: np.concatenate([_letters(" " + t + " ") for t in texts[lang]] or [np.zeros(0, np.uint64)]) for lang in languages}
