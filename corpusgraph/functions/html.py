@@ -7,6 +7,7 @@ import html as stdlib_html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: elements without text, and elements that end a line (matched by prefix, so <pre> and <link> do too)
 HIDDEN = ("script", "style", "noscript")
@@ -14,7 +15,7 @@ BLOCKS = ("p", "div", "section", "article", "header", "footer", "main", "aside",
 ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "'"), ("&amp;", "&"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else stdlib_html.unescape(x))
 

@@ -8,18 +8,19 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _normal(x: str) -> str:
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x).casefold().strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normal_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else _normal(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compact_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else re.sub(r"\s+", "", x).casefold())
 
