@@ -24,6 +24,7 @@ from corpusgraph.llm.staging import staged
 from corpusgraph.llm.words import U, blocks, mix, shingles
 
 PARITY = 16  # 64-bit words of a set's parity sketch
+FINE = ((4000, 256), (1000, 64))  # words of the second sketch of sets from so many elements on
 FILTER_BITS = 1 << 25  # fixed size of the filter of wanted sets: 4 MB, whatever the input
 
 
@@ -97,21 +98,28 @@ def _node(items: np.ndarray) -> int:
     return int(mix(np.sum(mix(items ^ U(0xA0761D6478BD642F)), dtype=np.uint64, keepdims=True) + U(len(items))).view(np.int64)[0])
 
 
+def _parity(items: np.ndarray, words: int) -> np.ndarray:
+    """A bit for each of 64 * words cells of the hash domain: whether it holds an odd number of elements."""
+    cell = (items >> U(64 - (64 * words).bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _described(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("chk", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("chk", pa.int64()), ("sketch", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             size, node, chk = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            sketch = np.zeros((n, PARITY), np.int64)
+            sketch, fine = np.zeros((n, PARITY), np.int64), [None] * n
             for i, items in _sets(batch.column("text"), width):
                 size[i], node[i] = len(items), _node(items)
                 chk[i] = np.sum(mix(items + U(0xE7037ED1A0B428DB)), dtype=np.uint64).view(np.int64)
-                odd = np.bincount((items >> U(54)).astype(np.int64), minlength=64 * PARITY) & 1
-                sketch[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                sketch[i] = _parity(items, PARITY)
+                if size_of := next((w for least, w in FINE if len(items) >= least), 0):
+                    fine[i] = _parity(items, size_of)
             none = size == 0
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(chk, mask=none), pa.ListArray.from_arrays(np.arange(0, (n + 1) * PARITY, PARITY, dtype=np.int32), sketch.ravel())], schema=schema)
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(chk, mask=none), pa.ListArray.from_arrays(np.arange(0, (n + 1) * PARITY, PARITY, dtype=np.int32), sketch.ravel()), pa.array(fine, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -206,7 +214,10 @@ def _possible(percent: int):
     """What sizes and parity sketches of a and b allow: sketches differ in no more bits than the sets in elements."""
     apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("pa", F.lit(0)).bitwiseXOR(F.get("pb", F.lit(0)))))
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
+    most = (100 - percent) * (F.col("na") + F.col("nb"))
+    wide = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+    alike = F.when(F.size("fa") == F.size("fb"), (100 + percent) * wide <= most).otherwise(True)
+    return sizes & ((100 + percent) * apart <= most) & F.coalesce(alike, F.lit(True))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
@@ -217,15 +228,15 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     document's set, not all partners. Documents with equal sets share one node. Each signature's sets are first compared
     with the set that shares most signatures; after that, only sets of one signature that aren't connected yet are
     compared with each other, so every link between components is found without all pairs of a group. Before sets are
-    compared, their sizes and 1024-bit parity sketches must allow the similarity.
+    compared, their sizes and parity sketches (1024 bits; 4096 and 16384 for long texts) must allow the similarity.
 
     Null and blank texts have an empty set (n_shingles 0) and are their own component; repeated doc_ids count as rows of
     one document; a null doc_id gives a null component_id of its own unless linked. Two different sets with one 64-bit
     node hash are an error, never a wrong link. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = staged(docs.mapInArrow(_described(width), "doc_id long, n_shingles long, node long, chk long, sketch array<long>"))
-    nodes = staged(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("chk").alias("c1"), F.max("chk").alias("c2"), F.max("n_shingles").alias("n2")))
+    known = staged(docs.mapInArrow(_described(width), "doc_id long, n_shingles long, node long, chk long, sketch array<long>, fine array<long>"))
+    nodes = staged(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"), F.min("chk").alias("c1"), F.max("chk").alias("c2"), F.max("n_shingles").alias("n2")))
     if nodes.where("c1 <> c2 or n <> n2").limit(1).count():
         raise ValueError("two different sets share a 64-bit hash: change the constants of _node")
     signed = docs.select("text").mapInArrow(_signed(width, percent), "sig long, node long")
@@ -235,14 +246,14 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     weight = shared.groupBy("node").agg(F.sum("many").alias("weight"))
     first = F.first("node").over(bucket.orderBy(F.desc("weight"), "node"))
     led = shared.select("sig", "node").join(weight, "node").select(first.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    known_as = lambda e: nodes.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"p{e}"), F.col("doc_id").alias(f"d{e}"))
+    known_as = lambda e: nodes.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"p{e}"), F.col("fine").alias(f"f{e}"), F.col("doc_id").alias(f"d{e}"))
     led = staged(led.join(known_as("a"), "a").join(known_as("b"), "b").where(_possible(percent)).select("a", "b", "da", "db"))
     edges = staged(_linked(docs, led, width, percent))
     group = staged(components(edges))
     mine = shared.join(group, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
     apart = mine.select("*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi")).where("lo <> hi").select("sig", "node", "comp")
-    apart = apart.join(nodes.select("node", "n", "sketch", "doc_id"), "node")
-    x, y = (apart.select("sig", F.col("node").alias(e), F.col("comp").alias(f"c{e}"), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"p{e}"), F.col("doc_id").alias(f"d{e}")) for e in "ab")
+    apart = apart.join(nodes.select("node", "n", "sketch", "fine", "doc_id"), "node")
+    x, y = (apart.select("sig", F.col("node").alias(e), F.col("comp").alias(f"c{e}"), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"p{e}"), F.col("fine").alias(f"f{e}"), F.col("doc_id").alias(f"d{e}")) for e in "ab")
     rest = x.join(y, (x["sig"] == y["sig"]) & (F.col("ca") < F.col("cb")) & _possible(percent)).select("a", "b", "da", "db").distinct()
     tried = led.select("a", "b").unionAll(led.select(F.col("b"), F.col("a")))
     rest = staged(rest.join(tried, ["a", "b"], "left_anti"))
