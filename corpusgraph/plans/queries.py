@@ -268,10 +268,6 @@ def legacy_duplicates(s):
     return o.select("id", *keys).join(o.groupBy(*keys).agg(F.min("id").alias("first")), keys).where("id > first").select("id")
 
 
-def _names(s, most: int | None = None) -> DataFrame:
-    return s("kg_alias").select("name").distinct().select(F.xxhash64("name").alias("entity_id"), "name")
-
-
 @query()
 def fuzzy_candidates(s):
     asked = s.table("supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_name").alias("name"))
@@ -289,7 +285,7 @@ def containment_candidates(s):
 
 @query()
 def reconcile_pairs(s):
-    return resolve.reconcile_pairs(_names(s))
+    return resolve.reconcile_pairs(s.table("supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name")))
 
 
 @query(f"SELECT q.page_id, string_agg(p.passage, chr(10) || chr(10) ORDER BY p.pos) AS cited FROM (SELECT page_id, unnest([printf('P%06d', 1 + page_id % 3), printf('P%06d', 2 + page_id % 3)]) AS passage_id FROM pages) q JOIN ({_PASSAGES}) p ON p.page_id=q.page_id AND p.passage_id=q.passage_id GROUP BY q.page_id")
