@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.staging import staged
+
 KEY = ("source", "lang", "tokenizer")
 
 
@@ -85,16 +87,19 @@ def maintained(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     """Totals after three batches over the documents, the second committed twice.
 
     Every document comes in with words.1 and bytes.1; those labelled toxic are deleted; then words.1 of the documents
-    labelled quality 0 that are left is revised to count words with a letter or digit only.
+    labelled quality 0 that are left is revised to count words with a letter or digit only. Texts are counted once, into a
+    written ledger of a few numbers a document; deletes and revisions join the ledger, so no text is shuffled. A document
+    with several labels is toxic if any says so and of its lowest quality; rows that share a doc_id share its labels.
     """
     table = Rollup(docs.sparkSession, path)
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    table.commit("load", inserts(counted(docs)))
-    marked = docs.join(marks, "doc_id")
-    gone = deletes(counted(marked.where("toxic = 1")))
+    ledger = staged(counted(docs, ("words.1", "bytes.1", "words.2")))
+    came = ledger.where("tokenizer <> 'words.2'")
+    table.commit("load", inserts(came))
+    gone = deletes(came.join(marks.where("toxic = 1"), "doc_id"))
     table.commit("toxic", gone)
     table.commit("toxic", gone)
-    low = marked.where("coalesce(toxic, 0) <> 1 and quality = 0")
-    both = counted(low, ("words.1", "words.2"))
-    table.commit("recount", revisions(both.where("tokenizer = 'words.1'"), both.where("tokenizer = 'words.2'").withColumn("tokenizer", F.lit("words.1"))))
+    low = ledger.join(marks.where("coalesce(toxic, 0) <> 1 and quality = 0"), "doc_id")
+    new = low.where("tokenizer = 'words.2'").withColumn("tokenizer", F.lit("words.1"))
+    table.commit("recount", revisions(low.where("tokenizer = 'words.1'"), new))
     return table.totals()
