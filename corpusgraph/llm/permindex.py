@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.staging import staged
+
 
 class Index(NamedTuple):
     pivots: np.ndarray  # one a row, of length 1
@@ -67,17 +69,19 @@ def _usable(df: DataFrame, vector: str) -> DataFrame:
     return df.where(F.coalesce(fine, F.lit(False)))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 4096, block_rows: int = 2048, index: Index | None = None) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 4096, block_rows: int = 2048, index: Index | None = None, growth: int = 4) -> DataFrame:
     """vectors(vec_id, embedding) -> (query_id, rank, vec_id, score): the k nearest found of each vec_id divisible by every.
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id. Null, empty and zero vectors and
     those with null or non-finite components take no part. The index is fit on at most sample_rows rows (smallest hash of
-    vec_id); every row is indexed. A pivot's inverted file is dealt over salted blocks of about block_rows rows, so that a
-    pivot near a third of all vectors is no single task. A pair is judged in one file only, that of the first of the
-    query's pivots that the vector is posted under. Each file yields its rows within the index's footrule radius, and at
-    least its k nearest by footrule. Where all rows fit in the sample, every row is posted and compared, so small tables
-    give exact results. Vectors must have one length; rows of another one are an error. Repeated vec_ids are rows of
-    their own; a query skips the rows of its own id.
+    vec_id); every row is indexed. A pivot's inverted file is dealt over salted blocks of about block_rows rows, and so
+    are the queries that read it, so that a pivot near a third of all vectors is no single task. A pair is judged in one
+    file only, that of the first of the query's pivots that the vector is posted under. Each file yields its rows within
+    the index's footrule radius, and at least its k nearest by footrule. The rows are asked in layers by the hash of
+    vec_id, each growth times as many as all before it: what a query found so far bounds its k-th best score from below,
+    so a layer's files yield only about k * (growth - 1) rows for each query, however many blocks there are. Where all
+    rows fit in the sample, every row is posted and compared, so small tables give exact results. Vectors must have one
+    length; rows of another one are an error. Repeated vec_ids are rows of their own; a query skips the rows of its own id.
     """
     spark = vectors.sparkSession
     rows = _usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("embedding")).where("vec_id is not null"), "embedding")
@@ -86,9 +90,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample_rows: int =
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
     if index is None:
         share = min(1.0, (sample_rows + 4 * sample_rows**0.5) / total)
-        place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
         got = rows.where(place < int(share * (1 << 30)) + 1).orderBy(place, "vec_id").limit(sample_rows).collect()
         got = got or rows.orderBy("vec_id").limit(1).collect()
         index = fit(np.array([r["v"] for r in got]), k)
@@ -96,28 +100,36 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample_rows: int =
         index = index._replace(length=len(index.pivots), probes=len(index.pivots), radius=1 << 30)
     spread = spark.sparkContext.broadcast(index)
     width = len(index.pivots[0])
-    salts = max(1, round(total * index.probes / len(index.pivots) / block_rows))
-
-    def posted(queries: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = spread.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                v = np.stack(batch["v"].to_numpy())
-                if v.shape[1] != width:
-                    raise ValueError("vectors of different lengths")
-                orders = _orders(v, known)
-                ids = batch["vec_id"].to_numpy()
-                raw = [x.tobytes() for x in v]
-                for j in range(known.probes):
-                    yield pd.DataFrame({"pivot": orders[:, j].astype(np.int32), "vec_id": ids, "order": [x.tobytes() for x in orders], "v": raw})
-
-        return run
-
-    kind = "pivot int, vec_id long, order binary, v binary"
-    files = rows.mapInPandas(posted(False), kind).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
-    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(posted(True), kind).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    blocks = lambda n: max(1, round(n * index.probes / len(index.pivots) / block_rows))
+    asks = blocks(total / every)
+
+    def ordered(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        v = np.stack(batch["v"].to_numpy())
+        if v.shape[1] != width:
+            raise ValueError("vectors of different lengths")
+        return v, _orders(v, spread.value)
+
+    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            v, orders = ordered(batch)
+            raw, whole = [x.tobytes() for x in v], [x.tobytes() for x in orders]
+            for j in range(spread.value.probes):
+                yield pd.DataFrame({"pivot": orders[:, j].astype(np.int32), "vec_id": batch["vec_id"].to_numpy(), "order": whole, "v": raw})
+
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            v, orders = ordered(batch)
+            ids, bar = batch["vec_id"].to_numpy(), batch["bar"].fillna(-np.inf).to_numpy(np.float64)
+            block, probed = batch["ask"].to_numpy(), orders[:, : spread.value.probes]
+            out = []
+            for pivot, ask in {(int(p), int(b)) for p, b in zip(probed.ravel(), np.repeat(block, probed.shape[1]))}:
+                at = np.flatnonzero((probed == pivot).any(axis=1) & (block == ask))
+                out.append((pivot, ask, *(x[at].tobytes() for x in (ids, bar, orders, v))))
+            yield pd.DataFrame(out, columns=["pivot", "ask", "ids", "bars", "order", "v"])
 
     def matched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         known = spread.value
@@ -125,31 +137,52 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, sample_rows: int =
         if not len(left) or not len(right):
             return none
         pivot = int(left["pivot"].iloc[0])
-        ids, asking = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        ids = left["vec_id"].to_numpy()
         order = np.frombuffer(b"".join(left["order"]), np.int16).reshape(len(left), -1)
-        own = np.frombuffer(b"".join(right["order"]), np.int16).reshape(len(right), -1)
         v = np.frombuffer(b"".join(left["v"]), np.float64).reshape(len(left), -1)
-        q = np.frombuffer(b"".join(right["v"]), np.float64).reshape(len(right), -1)
+        asked, bars = np.frombuffer(b"".join(right["ids"]), np.int64), np.frombuffer(b"".join(right["bars"]), np.float64)
+        own = np.frombuffer(b"".join(right["order"]), np.int16).reshape(len(asked), -1)
+        q = np.frombuffer(b"".join(right["v"]), np.float64).reshape(len(asked), -1)
         ranks = _ranks(order, known)
         posted_at = ranks < known.probes
         out = []
-        for i in range(len(right)):
+        for i in range(len(asked)):
             before = own[i, : int(np.flatnonzero(own[i] == pivot)[0])].astype(np.int64)
-            fit_in = ~posted_at[:, before].any(axis=1) & (ids != asking[i])
+            fit_in = ~posted_at[:, before].any(axis=1) & (ids != asked[i])
             at = np.flatnonzero(fit_in)
             if known.radius < 1 << 30 and len(at) > k:
                 apart = _footrule(_ranks(own[i : i + 1], known), ranks[at])[0]
                 at = at[apart <= max(known.radius, np.partition(apart, k - 1)[k - 1])]
+            score = (v[at] * q[i]).sum(axis=1)
+            at, score = at[score >= bars[i]], score[score >= bars[i]]
             if not len(at):
                 continue
-            score = (v[at] * q[i]).sum(axis=1)
             if len(at) > k:
                 edge = np.partition(score, len(at) - k)[len(at) - k]
                 at, score = at[score >= edge], score[score >= edge]
             best = np.lexsort((ids[at], -score))[:k]
-            out.append(pd.DataFrame({"query_id": asking[i], "vec_id": ids[at][best], "score": score[best]}))
+            out.append(pd.DataFrame({"query_id": asked[i], "vec_id": ids[at][best], "score": score[best]}))
         return pd.concat(out) if out else none
 
-    found = files.groupBy("pivot", "salt").cogroup(asked.groupBy("pivot", "salt")).applyInPandas(matched, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("ask", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asks)).cast("int"))
+    layers = 0
+    while total > sample_rows * growth**layers:
+        layers += 1
+    found, low = None, 0
+    for left in range(layers, -1, -1):
+        high = (1 << 30) // growth**left
+        salts = blocks(total * (high - low) / (1 << 30))
+        layer = rows.where((place >= low) & (place < high)).mapInPandas(posted, "pivot int, vec_id long, order binary, v binary")
+        layer = layer.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+        asked = queries.withColumn("bar", F.lit(None).cast("double"))
+        if found is not None:
+            bar = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).alias("bar"))
+            asked = queries.join(bar, "vec_id", "left")
+        asked = asked.mapInPandas(asking, "pivot int, ask int, ids binary, bars binary, order binary, v binary")
+        asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        got = layer.groupBy("pivot", "salt", "ask").cogroup(asked.groupBy("pivot", "salt", "ask")).applyInPandas(matched, "query_id long, vec_id long, score double")
+        got = got if found is None else got.unionByName(found.drop("rank"))
+        found = got.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+        found, low = staged(found) if left else found, high
+    return found

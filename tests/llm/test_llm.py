@@ -275,9 +275,9 @@ def test_search_recall_and_odd_vectors(spark):
     v[5:9] = v[4]
     rows = [(i, [float(x) for x in v[i]]) for i in range(len(v))] + [(4000, None), (4020, [0.0] * 16), (4040, [float("nan")] * 16), (4060, [None] * 16), (4080, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for sample, least in ((4096, 1.0), (1024, 0.9)):
+    for sample, block, least in ((4096, 500, 1.0), (1024, 500, 0.9), (256, 16, 0.85)):
         got = collections.defaultdict(list)
-        for r in permindex.search(df, sample_rows=sample, block_rows=500).orderBy("query_id", "rank").collect():
+        for r in permindex.search(df, sample_rows=sample, block_rows=block).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["vec_id"], r["score"]))
         assert set(got) == set(range(0, 3000, 20))
         w = v.astype(float)
