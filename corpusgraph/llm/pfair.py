@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.staging import staged
+
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Whole slots of each source in a period, by largest remainder, one at least; they add up to the period."""
@@ -24,26 +31,48 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of one period: earliest deadline first among released blocks.
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights; a float stands for the fraction that it is."""
+    if not weights or min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * unit) for s, x in exact.items()}
 
-    Block j of a source of p slots in a period of n is released at floor(j n / p) and due at ceil((j + 1) n / p). The
-    shares fill the period, so every block is put within its window, and at any time a source is less than one block from
-    its weight. Ties go to the block whose window overlaps the next one, then to the larger share, then by name.
+
+def placed(parts: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of all blocks in order of slots: earliest deadline first among released ones.
+
+    Block j of a source of p parts in n is released at floor(j n / p) and due at ceil((j + 1) n / p). One slot of p / n for
+    every source fits these windows, so unit blocks do too, and earliest deadline first finds them a place; blocks that a
+    source doesn't have leave slots empty. Ties go to the block whose window doesn't overlap the next one, then to the
+    larger share, then by name. Only each source's next block is held.
     """
-    n = sum(slots.values())
-    waiting = sorted(((j * n // p, -(-(j + 1) * n // p), (j + 1) * n % p == 0, -p, s, j) for s, p in slots.items() for j in range(p)), reverse=True)
+    n = sum(parts.values())
+    waiting = [(0, s, 0) for s, many in blocks.items() if many]
+    heapq.heapify(waiting)
     ready: list[tuple] = []
-    out = []
-    for t in range(n):
-        while waiting and waiting[-1][0] <= t:
-            release, due, apart, p, s, j = waiting.pop()
-            heapq.heappush(ready, (due, apart, p, s, j, release))
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            release, s, j = heapq.heappop(waiting)
+            p = parts[s]
+            due, over = divmod((j + 1) * n, p)
+            heapq.heappush(ready, (due + (over > 0), over == 0, -p, s, j, release))
         due, _, _, s, j, release = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a deadline was missed")
-        out.append((s, j, t, release, due))
-    return out
+        yield s, j, t, release, due
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * n // parts[s], s, j + 1))
+        t += 1
+
+
+def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """placed() of one period of whole slots, which fill it."""
+    return list(placed(slots, slots))
 
 
 def default_weights(docs: DataFrame, temperature: float = 0.5, most: int = 4096) -> dict[str, float]:
@@ -58,35 +87,48 @@ def _source() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit("")).alias("cg__source")
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 16, period: int = 4096, salts: int = 64) -> DataFrame:
+def _places(weights: dict[str, float]):
+    """The schedule of (cg__source, cg__n) rows: all sources in one task, which holds a block of each at a time."""
+    schema = pa.schema([("cg__source", pa.string()), ("block", pa.int64()), ("slot", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = {s: n for batch in batches for s, n in zip(*(c.to_pylist() for c in batch.columns))}
+        if not blocks:
+            return
+        if missing := sorted(set(blocks) - set(weights))[:5]:
+            raise ValueError(f"sources without a weight: {missing}")
+        rows = placed(whole(weights), blocks)
+        while some := list(islice(rows, 1 << 14)):
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+    return run
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 16, period: int | None = None, salts: int = 64) -> DataFrame:
     """docs with block, slot, release, deadline and position_in_block: reading by (slot, position_in_block) mixes the sources.
 
-    Each source's documents, in an order by hash of doc_id, are cut into blocks of block_docs. Slots of one period come
-    from schedule(), a table of period rows; later periods repeat it. While no source has run out, every prefix of slots
-    has less than one block more or less of each source than its weight asks for. A source that has run out leaves its
-    slots empty, so those left keep their proportions; no document is dropped or repeated. weights default to the square
-    root of the sources' document counts and must name every source. Null sources are the source ''. Rows with equal
-    doc_id are ordered by their text's hash. An empty table gives an empty result. Columns with the added names are replaced.
+    Each source's documents, in an order by hash of doc_id, are cut into blocks of block_docs, and placed() gives every
+    block of the run its slot. While no source has run out, every prefix of slots has less than one block more or less of
+    each source than its weight asks for. A source that has run out leaves its slots empty, so those left keep their
+    proportions; no document is dropped or repeated. weights default to the square root of the sources' document counts
+    and must name every source; they are met exactly, or if a period is given, as whole slots of it (shares()). Null
+    sources are the source ''. Rows with equal doc_id are ordered by their text's hash. An empty table gives an empty
+    result. Columns with the added names are replaced.
     """
-    spark: SparkSession = docs.sparkSession
     added = ["block", "slot", "release", "deadline", "position_in_block"]
     docs = docs.drop(*added)
     given = docs.columns
     weights = weights if weights is not None else default_weights(docs)
-    table = schedule(shares(weights, period)) if weights else []
-    first = spark.createDataFrame(table, "cg__source string, cg__j int, cg__slot int, cg__release int, cg__due int")
+    weights = shares(weights, period) if period and weights else weights
     # the hot source is numbered in salts parts: a prefix sum over their counts gives each part its first number
     marked = docs.withColumn("cg__source", _source()).withColumn("cg__key", F.xxhash64("doc_id")).withColumn("cg__salt", F.pmod(F.shiftrightunsigned("cg__key", 20), F.lit(salts)))
-    part = marked.groupBy("cg__source", "cg__salt").agg(F.count("*").alias("cg__n"))
+    part = staged(marked.groupBy("cg__source", "cg__salt").agg(F.count("*").alias("cg__n")))
+    blocks = part.groupBy("cg__source").agg(F.ceil(F.sum("cg__n") / block_docs).alias("cg__n"))
+    places = blocks.coalesce(1).mapInArrow(_places(weights), "cg__source string, block long, slot long, release long, deadline long")
     part = part.select("cg__source", "cg__salt", (F.sum("cg__n").over(W.partitionBy("cg__source").orderBy("cg__salt")) - F.col("cg__n")).alias("cg__before"))
     inside = W.partitionBy("cg__source", "cg__salt").orderBy("cg__key", "doc_id", "cg__tie")
     tie = F.xxhash64("text") if "text" in given else F.lit(0)
     numbered = marked.withColumn("cg__tie", tie).withColumn("cg__rn", F.row_number().over(inside)).join(F.broadcast(part), ["cg__source", "cg__salt"])  # sources * salts rows
     at = F.col("cg__before") + F.col("cg__rn") - 1
-    many = first.groupBy("cg__source").agg(F.count("*").alias("cg__p"))
     numbered = numbered.withColumn("block", F.floor(at / block_docs)).withColumn("position_in_block", (at % block_docs).cast("int"))
-    placed = numbered.join(F.broadcast(many), "cg__source").withColumn("cg__j", (F.col("block") % F.col("cg__p")).cast("int"))
-    placed = placed.join(F.broadcast(first), ["cg__source", "cg__j"])  # period rows
-    base = F.floor(F.col("block") / F.col("cg__p")) * period
-    placed = placed.withColumn("slot", base + F.col("cg__slot")).withColumn("release", base + F.col("cg__release")).withColumn("deadline", base + F.col("cg__due"))
-    return placed.select(*given, *added)
+    return numbered.join(places, ["cg__source", "block"]).select(*given, *added)

@@ -3,6 +3,7 @@ import hashlib
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -210,6 +211,24 @@ def test_schedule_deviates_less_than_a_block():
             assert all(abs(done[x] - (t + 1) * p / period) < 1 for x, p in slots.items())
 
 
+def test_mixture_follows_the_weights_asked_for(spark):
+    n = {f"s{i}": 10000 if i == 0 else 1053 for i in range(20)}
+    weights = {s: math.sqrt(x) for s, x in n.items()}
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    df = spark.createDataFrame([(i, s) for s, x in n.items() for i in range(x)], "doc_id long, source string")
+    got = sorted({(r["slot"], r["source"], r["block"], r["release"], r["deadline"]) for r in pfair.mixed(df, block_docs=1).collect()})
+    assert len(got) == sum(n.values())
+    done, behind, out = collections.Counter(), 0, min(x / share[s] for s, x in n.items())
+    for t, s, j, release, due in got:
+        assert release <= t < due and j == done[s]
+        assert release == math.floor(j / share[s]) and due == math.ceil((j + 1) / share[s])
+        done[s] += 1
+        if t < out - 1:
+            behind = max(behind, *(abs(done[x] - (t + 1) * float(p)) for x, p in share.items()))
+    assert behind < 1 and out > 3 * 4096
+
+
 def test_mixture_keeps_every_row(spark):
     rows = [(i, f"t{i}", "hot" if i % 3 else None, 7) for i in range(500)] + [(1, "t1", "hot", 7)]
     df = spark.createDataFrame(rows, DOC + ", source string, slot int")
