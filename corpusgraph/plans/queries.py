@@ -268,11 +268,26 @@ def legacy_duplicates(s):
     return o.select("id", *keys).join(o.groupBy(*keys).agg(F.min("id").alias("first")), keys).where("id > first").select("id")
 
 
+def _entity_names(s) -> tuple[DataFrame, DataFrame]:
+    """(entity_id, name) of every entity's canonical name, and of all its names."""
+    asked = s("kg_entity").select(F.col("id").alias("entity_id"), F.col("normalized_name").alias("name"))
+    return asked, asked.union(s("kg_alias").select("entity_id", F.col("normalized_name").alias("name")))
+
+
 @query()
 def fuzzy_candidates(s):
-    asked = s.table("supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_name").alias("name"))
-    names = s.table("customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"))
-    return resolve.candidates(asked, names, 0.35)
+    asked, names = _entity_names(s)
+    return resolve.candidates(asked.withColumnRenamed("entity_id", "query_id"), names, 0.35)
+
+
+@query()
+def containment_entities(s):
+    """Pairs of all entities, where containment_candidates has one part for each name."""
+    asked, names = _entity_names(s)
+    one = lambda df, id_: df.select("name").distinct().select(F.col("name").alias(id_), "name")
+    pairs = resolve.containing(one(asked, "query_id"), one(names, "entity_id")).withColumnsRenamed({"query_id": "a", "entity_id": "b"})
+    pairs = pairs.join(asked.select(F.col("entity_id").alias("query_id"), F.col("name").alias("a")), "a").join(names.withColumnRenamed("name", "b"), "b")
+    return pairs.select("query_id", "entity_id").distinct()
 
 
 @query("SELECT DISTINCT q.p_partkey AS query_id, n.p_partkey AS entity_id FROM (SELECT min(p_partkey) AS p_partkey, p_name FROM part GROUP BY p_name) q JOIN (SELECT min(p_partkey) AS p_partkey, p_type FROM part GROUP BY p_type UNION SELECT min(p_partkey), p_name FROM part GROUP BY p_name) n ON contains(replace(q.p_name,' ',''), replace(n.p_type,' ','')) OR contains(replace(n.p_type,' ',''), replace(q.p_name,' ',''))")
@@ -285,7 +300,7 @@ def containment_candidates(s):
 
 @query()
 def reconcile_pairs(s):
-    return resolve.reconcile_pairs(s.table("supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name")))
+    return resolve.reconcile_pairs(*_entity_names(s))
 
 
 @query(f"SELECT q.page_id, string_agg(p.passage, chr(10) || chr(10) ORDER BY p.pos) AS cited FROM (SELECT page_id, unnest([printf('P%06d', 1 + page_id % 3), printf('P%06d', 2 + page_id % 3)]) AS passage_id FROM pages) q JOIN ({_PASSAGES}) p ON p.page_id=q.page_id AND p.passage_id=q.passage_id GROUP BY q.page_id")
