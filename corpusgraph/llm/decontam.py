@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted-shingle similarity.
 
-Only DataFrame and SQL functions run. A window that reaches the similarity shares a shingle with its item, so windows are
-only laid where the corpus has a benchmark shingle: each shared shingle aligns one item-sized window with its item. The
-windows' 64-bit SimHashes are then looked up in the items' multi-index: of radius + 1 blocks, two fingerprints within the
+Only DataFrame and SQL functions run. A window that reaches the similarity shares a shingle with its item, so every
+item-sized window that holds a shared shingle is laid, if what is shared weighs enough for the similarity. The windows'
+64-bit SimHashes are then looked up in the items' multi-index: of radius + 1 blocks, two fingerprints within the
 radius agree on one at least. What agrees is verified exactly.
 """
 
@@ -78,10 +78,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     found = bound(_worded(docs, width, F.col("doc_id").cast("long").alias("doc_id")), hits=hit).where("size(hits) > 0")
     found = staged(found.withColumn("rid", F.monotonically_increasing_id()))
     hits = found.select("rid", F.col("n").alias("dn"), F.explode("hits").alias("x")).select("rid", "dn", F.col("x.p").alias("p"), F.col("x.h").alias("h"))
-    starts = hits.join(where.select("iid", "n", "ipos", "h"), "h").select("rid", "iid", "n", F.greatest(F.lit(0), F.least(F.col("p") - F.col("ipos"), F.col("dn") - F.col("n"))).alias("start")).distinct()
-    laid = starts.groupBy("rid").agg(F.collect_list(F.struct("iid", "n", "start")).alias("laid"))  # of one text, so bounded by its length
-    cut = F.expr(f"transform(laid, w -> struct(w.iid as iid, w.start as start, slice(sh, w.start + 1, greatest(1, w.n - {width - 1})) as win))")
-    windows = found.join(laid, "rid").select("rid", "doc_id", F.explode(cut).alias("w")).select("rid", "doc_id", "w.*")
+    held = where.select("iid", "n", "h").distinct().join(weights, "h")
+    held = hits.join(held, "h").groupBy("rid", "iid", "n", "dn").agg(F.collect_list("p").alias("ps"), F.collect_set(F.struct("h", "w")).alias("ws"))
+    # what isn't shared only adds to the union: too little in the whole document or in a window is below the threshold
+    least = f"{threshold} * all_w - 1e-9"
+    held = held.join(known.select("iid", "all_w"), "iid").where(f"aggregate(ws, 0D, (s, x) -> s + x.w) >= {least}")
+    over = F.expr(f"array_distinct(flatten(transform(ps, p -> sequence(least(greatest(0, p - n + {width}), greatest(0, dn - n)), least(p, greatest(0, dn - n))))))")
+    held = held.select("rid", "iid", "n", "all_w", over.alias("starts"), F.expr("transform(ws, x -> x.h)").alias("hs"), F.map_from_entries("ws").alias("wm"))
+    cut = F.expr(f"transform(starts, i -> struct(i as start, slice(sh, i + 1, greatest(1, n - {width - 1})) as win))")
+    laid = bound(found.select("rid", "doc_id", "sh").join(held, "rid"), laid=cut)
+    enough = F.expr(f"filter(laid, x -> aggregate(array_intersect(x.win, hs), 0D, (s, h) -> s + wm[h]) >= {least})")
+    windows = laid.select("rid", "doc_id", "iid", F.explode(enough).alias("w")).select("rid", "doc_id", "iid", "w.*")
     windows = staged(windows.select("*", _fingerprint("win").alias("f")))
     keyed = windows.select("rid", "iid", "start", F.explode(_blocks(radius)).alias("b")).select("rid", "iid", "start", "b.*")
     index = known.select("iid", F.col("item_f").alias("f")).select("iid", F.explode(_blocks(radius)).alias("b")).select("iid", "b.*")

@@ -138,6 +138,41 @@ def test_contamination(spark):
     assert decontam.contaminated(spark.createDataFrame(docs, DOC), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def brute_windows(docs, items, threshold=0.8, width=5):
+    """The first best of all item-sized windows of each document and item."""
+    cut = lambda w: [tuple(w[i : i + width]) for i in range(len(w) - width + 1)]
+    held = {i: (len(words(t)), set(cut(words(t)))) for i, t in items}
+    df = collections.Counter(x for _, s in held.values() for x in s)
+    weigh = lambda s: sum(1 + math.log(len(held) / df.get(x, 1)) for x in s)
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        for i, (n, s) in held.items():
+            tried = [(start, set(cut(w[start : start + n]))) for start in range(max(0, len(w) - n) + 1)]
+            start, best = max(((start, weigh(s & x) / weigh(s | x)) for start, x in tried), key=lambda x: (round(x[1], 12), -x[0]))
+            if best >= threshold - 1e-12:
+                out[d, i] = (start, pytest.approx(best))
+    return out
+
+
+def test_contamination_of_all_windows(spark):
+    rng = np.random.default_rng(11)
+    items = []
+    for i in range(40):
+        body = [f"i{i}w{j}" for j in range(45)]
+        items.append((i, " ".join(["a", "b", "c", "d", "e", *body, "v", "w", "x", "y", "z"])))
+    docs = [(0, "far " * 9)]
+    for d in range(1, 80):
+        w = items[int(rng.integers(40))][1].split()
+        for _ in range(int(rng.integers(1, 3))):
+            at = int(rng.integers(6, 50))
+            w[at:at] = [f"d{d}n{at}x{k}" for k in range(int(rng.integers(0, 4)))]
+        docs.append((d, " ".join([f"p{k}" for k in range(int(rng.integers(0, 30)))] + w + [f"q{k}" for k in range(int(rng.integers(0, 30)))])))
+    docs.append((80, " ".join(["pre", *items[3][1].split()[:27], "new", "words", *items[3][1].split()[27:], "post"])))
+    got = decontam.contaminated(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["start_word"], r["similarity"]) for r in got} == brute_windows(docs, items)
+
+
 def test_language_model(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(10**6 + d, t) for d, t in odd_docs()]
     got = hpyp.score(spark.createDataFrame(rows, DOC)).collect()
