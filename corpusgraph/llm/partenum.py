@@ -25,6 +25,7 @@ from corpusgraph.llm.words import U, blocks, mix, shingles
 
 PARITY = 16  # 64-bit words of a set's parity sketch
 FINE = ((4000, 256), (1000, 64))  # words of the second sketch of sets from so many elements on
+BLOCK_SETS, BLOCK_ITEMS = 512, 200_000  # of the blocks in which a component's sets are compared
 FILTER_BITS = 1 << 25  # fixed size of the filter of wanted sets: 4 MB, whatever the input
 
 
@@ -210,6 +211,71 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return found.select("a", "b").distinct()
 
 
+def _partners(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """For each set, how many similar ones it meets, if those at left meet those at right; the same places are met once."""
+    size = np.array([len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = often[column] > 1
+    row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2 ** 24
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[row[a:b], column[a:b] - first] = 1
+        both += has[left] @ has[right].T
+    alike = 100 * both.astype(np.int64) >= percent * (size[left][:, None] + size[right][None, :] - both.astype(np.int64))
+    alike &= left[:, None] != right[None, :]
+    out = np.zeros(len(sets), np.int64)
+    out[left] += alike.sum(axis=1)
+    if not np.array_equal(left, right):
+        out[right] += alike.sum(axis=0)
+    return out
+
+
+def _counted(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """members(node, component, n, doc_id) -> (node, n_links): all similar sets of each, all of which its component holds.
+
+    Large components are cut into blocks of about BLOCK_SETS sets or BLOCK_ITEMS elements by a hash, and each pair of
+    blocks is compared once; small components are compared many in a group.
+    """
+    whole = members.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("m")).where("c > 1")
+    members = staged(members.join(whole, "component").withColumn("k", F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("m") / BLOCK_ITEMS))))
+    groups = 1 + (members.agg(F.sum("n")).first()[0] or 0) // BLOCK_ITEMS
+    some = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k"))).select("node", "component", "k", "mine", F.explode(F.expr("sequence(0, k - 1)")).alias("other"))
+    part = F.when(F.col("k") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.col("component"))
+    some = some.select("node", "component", "mine", part.alias("part"), F.col("k").alias("k"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    # null ids are 0 here: the filter only has to let every wanted document pass
+    spread = docs.sparkSession.sparkContext.broadcast(_filter_of(members.select(F.coalesce("doc_id", F.lit(0)).alias("d"))))
+    known = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+
+    def made(batches):
+        yield from _wanted(width, spread.value)(batches)
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, comps, mine = (table.column(c).to_numpy() for c in ("node", "component", "mine"))
+        items = table.column("items").combine_chunks()
+        at, flat = items.offsets.to_numpy(), items.values.to_numpy()
+        order = np.lexsort((nodes, comps))
+        order = order[np.flatnonzero(np.diff(nodes[order], prepend=nodes[order[0]] ^ 1))]  # one set for each node
+        got = []
+        for own in np.split(order, np.flatnonzero(np.diff(comps[order])) + 1):
+            sides = np.unique(mine[own])
+            left, right = np.flatnonzero(mine[own] == sides[0]), np.flatnonzero(mine[own] == sides[-1])
+            # of two blocks that are met, one may hold no set
+            if len(sides) == 1 and table.column("i")[0].as_py() != table.column("j")[0].as_py():
+                right = right[:0]
+            got.append(_partners([flat[at[x] : at[x + 1]] for x in own], left, right, percent))
+        return pa.table({"node": pa.array(nodes[order], pa.int64()), "links": pa.array(np.concatenate(got), pa.int64())})
+
+    sets = known.mapInArrow(made, "node long, items array<long>")
+    met = some.join(sets, "node").groupBy((F.col("k") == 1).alias("small"), "part", "i", "j")
+    found = met.applyInArrow(compare, "node long, links long")
+    return found.groupBy("node").agg(F.sum("links").alias("n_links"))
+
+
 def _possible(percent: int):
     """What sizes and parity sketches of a and b allow: sketches differ in no more bits than the sets in elements."""
     apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("pa", F.lit(0)).bitwiseXOR(F.get("pb", F.lit(0)))))
@@ -224,11 +290,12 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     """docs(doc_id, text) -> (doc_id, n_shingles, component_id, n_links).
 
     A document's set holds its distinct shingles of width words; two documents link when 100 * intersection >= percent *
-    union. component_id is the smallest doc_id that links reach. n_links counts the links that were verified at the
-    document's set, not all partners. Documents with equal sets share one node. Each signature's sets are first compared
-    with the set that shares most signatures; after that, only sets of one signature that aren't connected yet are
-    compared with each other, so every link between components is found without all pairs of a group. Before sets are
-    compared, their sizes and parity sketches (1024 bits; 4096 and 16384 for long texts) must allow the similarity.
+    union. component_id is the smallest doc_id that links reach. n_links counts the different sets that link to the
+    document's set. Documents with equal sets share one node. Each signature's sets are first compared with the set that
+    shares most signatures; after that, only sets of one signature that aren't connected yet are compared with each other,
+    so every link between components is found without all pairs of a group. Before sets are compared, their sizes and
+    parity sketches (1024 bits; 4096 and 16384 for long texts) must allow the similarity. Links are then counted among all
+    sets of each component.
 
     Null and blank texts have an empty set (n_shingles 0) and are their own component; repeated doc_ids count as rows of
     one document; a null doc_id gives a null component_id of its own unless linked. Two different sets with one 64-bit
@@ -262,7 +329,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
         if more.limit(1).count():
             edges = edges.unionAll(more)
             group = staged(components(edges))
-    links = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    links = _counted(docs, group.select("node", "component").join(nodes.select("node", "n", "doc_id"), "node"), width, percent)
     member = nodes.select("node", "doc_id").join(group, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = member.join(least, "component").join(links, "node", "left").select("node", "component_id", "n_links")

@@ -62,6 +62,23 @@ def test_jaccard_components_match_brute_force(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_jaccard_counts_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(partenum, "BLOCK_SETS", block)
+    base = [f"w{i}" for i in range(80)]
+    near = [(100 + i, " ".join([f"n{i}" if j == i * 79 // 29 and i % 5 else w for j, w in enumerate(base)])) for i in range(30)]
+    rows = [(None, near[7][1])] + near + [(200 + d, t) for d, t in near[:3]] + odd_docs()
+    sets = {}
+    for _, t in rows:
+        w = words(t)
+        s = frozenset({tuple(w)} if 0 < len(w) < 4 else {tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+        sets[t] = s
+    want = {t: sum(1 for x in set(sets.values()) if x and x != s and 100 * len(s & x) >= 85 * len(s | x)) for t, s in sets.items()}
+    got = partenum.jaccard_components(spark.createDataFrame(rows, DOC)).select("doc_id", "n_links").collect()
+    assert sorted((r["doc_id"] or -1, r["n_links"]) for r in got) == sorted((d or -1, want[t]) for d, t in rows)
+    assert max(want.values()) > 20
+
+
 def test_jaccard_of_nothing(spark):
     assert partenum.jaccard_components(spark.createDataFrame([], DOC)).count() == 0
 
