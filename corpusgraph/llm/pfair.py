@@ -75,29 +75,22 @@ def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return list(placed(slots, slots))
 
 
-def default_weights(docs: DataFrame, temperature: float = 0.5, most: int = 4096) -> dict[str, float]:
-    """Number of documents to the power of temperature, by source; more than most sources are an error."""
-    rows = docs.groupBy(_source()).agg(F.count("*").alias("n")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} sources: give weights for groups of them")
-    return {r["cg__source"]: float(r["n"]) ** temperature for r in rows}
-
-
 def _source() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit("")).alias("cg__source")
 
 
-def _places(weights: dict[str, float]):
+def _places(weights: dict[str, float] | None, block_docs: int, period: int | None):
     """The schedule of (cg__source, cg__n) rows: all sources in one task, which holds a block of each at a time."""
     schema = pa.schema([("cg__source", pa.string()), ("block", pa.int64()), ("slot", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = {s: n for batch in batches for s, n in zip(*(c.to_pylist() for c in batch.columns))}
-        if not blocks:
+        count = {s: n for batch in batches for s, n in zip(*(c.to_pylist() for c in batch.columns))}
+        if not count:
             return
-        if missing := sorted(set(blocks) - set(weights))[:5]:
+        asked = {s: n**0.5 for s, n in count.items()} if weights is None else weights
+        if missing := sorted(set(count) - set(asked))[:5]:
             raise ValueError(f"sources without a weight: {missing}")
-        rows = placed(whole(weights), blocks)
+        rows = placed(whole(shares(asked, period) if period else asked), {s: -(-n // block_docs) for s, n in count.items()})
         while some := list(islice(rows, 1 << 14)):
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
@@ -111,24 +104,22 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs:
     block of the run its slot. While no source has run out, every prefix of slots has less than one block more or less of
     each source than its weight asks for. A source that has run out leaves its slots empty, so those left keep their
     proportions; no document is dropped or repeated. weights default to the square root of the sources' document counts
-    and must name every source; they are met exactly, or if a period is given, as whole slots of it (shares()). Null
+    and must name every source, of which there may be any number; they are met exactly, or if a period is given, as whole slots of it (shares()). Null
     sources are the source ''. Rows with equal doc_id are ordered by their text's hash. An empty table gives an empty
     result. Columns with the added names are replaced.
     """
     added = ["block", "slot", "release", "deadline", "position_in_block"]
     docs = docs.drop(*added)
     given = docs.columns
-    weights = weights if weights is not None else default_weights(docs)
-    weights = shares(weights, period) if period and weights else weights
     # the hot source is numbered in salts parts: a prefix sum over their counts gives each part its first number
     marked = docs.withColumn("cg__source", _source()).withColumn("cg__key", F.xxhash64("doc_id")).withColumn("cg__salt", F.pmod(F.shiftrightunsigned("cg__key", 20), F.lit(salts)))
     part = staged(marked.groupBy("cg__source", "cg__salt").agg(F.count("*").alias("cg__n")))
-    blocks = part.groupBy("cg__source").agg(F.ceil(F.sum("cg__n") / block_docs).alias("cg__n"))
-    places = blocks.coalesce(1).mapInArrow(_places(weights), "cg__source string, block long, slot long, release long, deadline long")
+    count = part.groupBy("cg__source").agg(F.sum("cg__n").alias("cg__n"))
+    places = count.coalesce(1).mapInArrow(_places(weights, block_docs, period), "cg__source string, block long, slot long, release long, deadline long")
     part = part.select("cg__source", "cg__salt", (F.sum("cg__n").over(W.partitionBy("cg__source").orderBy("cg__salt")) - F.col("cg__n")).alias("cg__before"))
     inside = W.partitionBy("cg__source", "cg__salt").orderBy("cg__key", "doc_id", "cg__tie")
     tie = F.xxhash64("text") if "text" in given else F.lit(0)
-    numbered = marked.withColumn("cg__tie", tie).withColumn("cg__rn", F.row_number().over(inside)).join(F.broadcast(part), ["cg__source", "cg__salt"])  # sources * salts rows
+    numbered = marked.withColumn("cg__tie", tie).withColumn("cg__rn", F.row_number().over(inside)).join(part, ["cg__source", "cg__salt"])  # sources * salts rows
     at = F.col("cg__before") + F.col("cg__rn") - 1
     numbered = numbered.withColumn("block", F.floor(at / block_docs)).withColumn("position_in_block", (at % block_docs).cast("int"))
     return numbered.join(places, ["cg__source", "block"]).select(*given, *added)

@@ -281,6 +281,14 @@ def test_mixture_follows_the_weights_asked_for(spark):
     assert behind < 1 and out > 3 * 4096
 
 
+def test_mixture_of_many_sources(spark):
+    rows = [(i, f"host{i % 5000}" if i < 7000 else "hot") for i in range(9000)]
+    got = pfair.mixed(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in got) == rows
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    assert len({(r["slot"], r["position_in_block"]) for r in got}) == len(rows)
+
+
 def test_mixture_keeps_every_row(spark):
     rows = [(i, f"t{i}", "hot" if i % 3 else None, 7) for i in range(500)] + [(1, "t1", "hot", 7)]
     df = spark.createDataFrame(rows, DOC + ", source string, slot int")
