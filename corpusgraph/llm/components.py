@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.staging import staged
+from corpusgraph.llm.staging import release, staged
 
 
 def _both(edges: DataFrame) -> DataFrame:

@@ -20,11 +20,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.components import components
-from corpusgraph.llm.staging import staged
+from corpusgraph.llm.staging import release, staged
 from corpusgraph.llm.words import U, blocks, mix, shingles
 
-PARITY = 16  # 64-bit words of a set's parity sketch
-FINE = ((4000, 256), (1000, 64))  # words of the second sketch of sets from so many elements on
+HOT = 256  # sets of one signature that are met in one task; those of a larger group are spread
 BLOCK_SETS, BLOCK_ITEMS = 512, 200_000  # of the blocks in which a component's sets are compared
 FILTER_BITS = 1 << 25  # fixed size of the filter of wanted sets: 4 MB, whatever the input
 
@@ -59,8 +58,13 @@ def bands(n: int, percent: int) -> tuple[tuple[int, int, int], ...]:
     return tuple(out)
 
 
+def sketch_class(top: int) -> int:
+    """log2 of the 64-bit words of the parity sketches in which sets of at most top elements are compared."""
+    return max(0, (max(1, 3 * top // 4) - 1).bit_length() - 6)
+
+
 def signatures(items: np.ndarray, percent: int) -> np.ndarray:
-    """PartEnum signatures of one set, given as distinct uint64 hashes."""
+    """PartEnum signatures of one set, given as distinct uint64 hashes; the last four bits are the band pair's sketch class."""
     out = []
     where = mix(items ^ U(0x5851F42D4C957F2D)) >> U(16)
     value = mix(items + U(0x14057B7EF767814F))
@@ -83,7 +87,7 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
         got, has = np.stack(got, axis=1), np.stack(has, axis=1)
         # a part counts as empty if any of its signatures is: up to spare of these can't hide a pair
         got = got[has] if (~has.all(axis=1)).sum() <= spare else got.ravel()
-        out.append(got)
+        out.append((got & ~U(15)) | U(min(15, sketch_class(top))))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -99,28 +103,31 @@ def _node(items: np.ndarray) -> int:
     return int(mix(np.sum(mix(items ^ U(0xA0761D6478BD642F)), dtype=np.uint64, keepdims=True) + U(len(items))).view(np.int64)[0])
 
 
-def _parity(items: np.ndarray, words: int) -> np.ndarray:
-    """A bit for each of 64 * words cells of the hash domain: whether it holds an odd number of elements."""
-    cell = (items >> U(64 - (64 * words).bit_length() + 1)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
+def _parity(items: np.ndarray, kind: int) -> np.ndarray:
+    """A bit for each of 64 * 2 ** kind cells of the hash domain: whether it holds an odd number of elements."""
+    cells = 64 << kind
+    cell = (items & U(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _described(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("chk", pa.int64()), ("sketch", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64()))])
+def _described(width: int, percent: int):
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("chk", pa.int64()), ("sketch", longs), ("lower", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             size, node, chk = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            sketch, fine = np.zeros((n, PARITY), np.int64), [None] * n
+            sketch, lower = [None] * n, [None] * n  # in the class of the set's own band, and of the band below if that differs
             for i, items in _sets(batch.column("text"), width):
                 size[i], node[i] = len(items), _node(items)
                 chk[i] = np.sum(mix(items + U(0xE7037ED1A0B428DB)), dtype=np.uint64).view(np.int64)
-                sketch[i] = _parity(items, PARITY)
-                if size_of := next((w for least, w in FINE if len(items) >= least), 0):
-                    fine[i] = _parity(items, size_of)
+                kinds = list(dict.fromkeys(min(15, sketch_class(top)) for _, top, _ in bands(len(items), percent)))
+                sketch[i] = _parity(items, kinds[0])
+                if len(kinds) > 1:
+                    lower[i] = _parity(items, kinds[1])
             none = size == 0
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(chk, mask=none), pa.ListArray.from_arrays(np.arange(0, (n + 1) * PARITY, PARITY, dtype=np.int32), sketch.ravel()), pa.array(fine, pa.list_(pa.int64()))], schema=schema)
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(node, mask=none), pa.array(chk, mask=none), pa.array(sketch, longs), pa.array(lower, longs)], schema=schema)
 
     return run
 
@@ -277,33 +284,34 @@ def _counted(docs: DataFrame, members: DataFrame, width: int, percent: int) -> D
 
 
 def _possible(percent: int):
-    """What sizes and parity sketches of a and b allow: sketches differ in no more bits than the sets in elements."""
-    apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("pa", F.lit(0)).bitwiseXOR(F.get("pb", F.lit(0)))))
+    """What sizes and parity sketches pa, pb of one class allow: sketches differ in no more bits than the sets in elements."""
+    apart = lambda i: F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i))))
+    bits = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+    for words in (16, 8, 4, 2, 1):  # in generated code, not in a lambda
+        bits = F.when(F.size("pa") == words, sum((apart(i) for i in range(1, words)), apart(0))).otherwise(bits)
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    most = (100 - percent) * (F.col("na") + F.col("nb"))
-    wide = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
-    alike = F.when(F.size("fa") == F.size("fb"), (100 + percent) * wide <= most).otherwise(True)
-    return sizes & ((100 + percent) * apart <= most) & F.coalesce(alike, F.lit(True))
+    return sizes & ((F.size("pa") != F.size("pb")) | ((100 + percent) * bits <= (100 - percent) * (F.col("na") + F.col("nb"))))
 
 
-def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_shingles, component_id, n_links).
+def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, links: bool = True) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, n_shingles, component_id, n_links); without n_links if links is False.
 
     A document's set holds its distinct shingles of width words; two documents link when 100 * intersection >= percent *
     union. component_id is the smallest doc_id that links reach. n_links counts the different sets that link to the
     document's set. Documents with equal sets share one node. Each signature's sets are first compared with the set that
     shares most signatures; after that, only sets of one signature that aren't connected yet are compared with each other,
-    so every link between components is found without all pairs of a group. Before sets are compared, their sizes and
-    parity sketches (1024 bits; 4096 and 16384 for long texts) must allow the similarity. Links are then counted among all
-    sets of each component.
+    so every link between components is found without all pairs of a group; groups of more than HOT sets are spread over
+    tasks. Before sets are compared, their sizes and parity sketches, of about a bit for each element, must allow the
+    similarity. Links are then counted among all sets of each component.
 
     Null and blank texts have an empty set (n_shingles 0) and are their own component; repeated doc_ids count as rows of
-    one document; a null doc_id gives a null component_id of its own unless linked. Two different sets with one 64-bit
-    node hash are an error, never a wrong link. An empty table gives an empty result.
+    one document; a null doc_id gives a null component_id of its own unless linked; other columns, whatever their names,
+    aren't read. Two different sets with one 64-bit node hash are an error, never a wrong link. An empty table gives an
+    empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = staged(docs.mapInArrow(_described(width), "doc_id long, n_shingles long, node long, chk long, sketch array<long>, fine array<long>"))
-    nodes = staged(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"), F.min("chk").alias("c1"), F.max("chk").alias("c2"), F.max("n_shingles").alias("n2")))
+    known = staged(docs.mapInArrow(_described(width, percent), "doc_id long, n_shingles long, node long, chk long, sketch array<long>, lower array<long>"))
+    nodes = staged(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("lower").alias("lower"), F.min("chk").alias("c1"), F.max("chk").alias("c2"), F.max("n_shingles").alias("n2")))
     if nodes.where("c1 <> c2 or n <> n2").limit(1).count():
         raise ValueError("two different sets share a 64-bit hash: change the constants of _node")
     signed = docs.select("text").mapInArrow(_signed(width, percent), "sig long, node long")
@@ -311,26 +319,37 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4) -> Da
     met = signed.select("*", F.min("node").over(bucket).alias("lo"), F.max("node").over(bucket).alias("hi"), F.count("*").over(bucket).alias("many"))
     shared = staged(met.where("lo <> hi").groupBy("sig", "node").agg(F.first("many").alias("many")))
     weight = shared.groupBy("node").agg(F.sum("many").alias("weight"))
-    first = F.first("node").over(bucket.orderBy(F.desc("weight"), "node"))
-    led = shared.select("sig", "node").join(weight, "node").select(first.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    known_as = lambda e: nodes.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"p{e}"), F.col("fine").alias(f"f{e}"), F.col("doc_id").alias(f"d{e}"))
-    led = staged(led.join(known_as("a"), "a").join(known_as("b"), "b").where(_possible(percent)).select("a", "b", "da", "db"))
+    # of a signature's sets, the one that shares most leads: a partial aggregate, so that a hot signature is no single task
+    first = shared.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
+    led = shared.join(first, "sig").select("a", F.col("node").alias("b"), F.col("sig").bitwiseAND(F.lit(15)).alias("kind")).where("a <> b").distinct()
+    of_kind = lambda: F.when(F.size("sketch") == F.call_function("shiftleft", F.lit(1), F.col("kind").cast("int")), F.col("sketch")).otherwise(F.coalesce("lower", "sketch"))
+    known_as = lambda e: nodes.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"s{e}"), F.col("lower").alias(f"l{e}"), F.col("doc_id").alias(f"d{e}"))
+    in_kind = lambda e: F.expr(f"if(size(s{e}) = shiftleft(1, cast(kind as int)), s{e}, coalesce(l{e}, s{e})) as p{e}")
+    sized = led.join(known_as("a"), "a").join(known_as("b"), "b").select("a", "b", "da", "db", "na", "nb", in_kind("a"), in_kind("b"))
+    led = staged(sized.where(_possible(percent)).select("a", "b", "da", "db").distinct())
     edges = staged(_linked(docs, led, width, percent))
     group = staged(components(edges))
     mine = shared.join(group, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
-    apart = mine.select("*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi")).where("lo <> hi").select("sig", "node", "comp")
-    apart = apart.join(nodes.select("node", "n", "sketch", "fine", "doc_id"), "node")
-    x, y = (apart.select("sig", F.col("node").alias(e), F.col("comp").alias(f"c{e}"), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"p{e}"), F.col("fine").alias(f"f{e}"), F.col("doc_id").alias(f"d{e}")) for e in "ab")
-    rest = x.join(y, (x["sig"] == y["sig"]) & (F.col("ca") < F.col("cb")) & _possible(percent)).select("a", "b", "da", "db").distinct()
+    mixed = mine.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("sig", F.ceil(F.col("c") / HOT).cast("int").alias("k"))
+    apart = mine.join(mixed, "sig").withColumn("kind", F.col("sig").bitwiseAND(F.lit(15)))
+    apart = apart.join(nodes.select("node", "n", "sketch", "lower", "doc_id"), "node").select("sig", "k", "node", "comp", "n", "doc_id", of_kind().alias("p"))
+    x, y = (apart.select("sig", "k", F.col("node").alias(e), F.col("comp").alias(f"c{e}"), F.col("n").alias(f"n{e}"), F.col("p").alias(f"p{e}"), F.col("doc_id").alias(f"d{e}")) for e in "ab")
+    x = x.withColumn("part", F.pmod(F.xxhash64("a"), F.col("k"))).drop("k")
+    y = y.withColumn("part", F.explode(F.expr("transform(sequence(0, k - 1), i -> cast(i as bigint))"))).drop("k")
+    rest = x.join(y, (x["sig"] == y["sig"]) & (x["part"] == y["part"]) & (F.col("ca") < F.col("cb")) & _possible(percent)).select("a", "b", "da", "db").distinct()
     tried = led.select("a", "b").unionAll(led.select(F.col("b"), F.col("a")))
     rest = staged(rest.join(tried, ["a", "b"], "left_anti"))
+    release(shared)
     if rest.limit(1).count():
         more = staged(_linked(docs, rest, width, percent))
         if more.limit(1).count():
             edges = edges.unionAll(more)
             group = staged(components(edges))
-    links = _counted(docs, group.select("node", "component").join(nodes.select("node", "n", "doc_id"), "node"), width, percent)
     member = nodes.select("node", "doc_id").join(group, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = member.join(least, "component").join(links, "node", "left").select("node", "component_id", "n_links")
-    return known.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = member.join(least, "component").select("node", "component_id")
+    out = known.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("node", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    if not links:
+        return out.drop("node")
+    counted = _counted(docs, group.select("node", "component").join(nodes.select("node", "n", "doc_id"), "node"), width, percent)
+    return out.join(counted, "node", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder only where none is set and the master is local."""
@@ -28,14 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: the lineage is cut and survives lost executors.
 
-    rows, where the caller knows about how many small ones there are, keeps them in as few files as that takes.
+    rows, where the caller knows about how many small ones there are, keeps them in as few files as that takes. Once the
+    table is written nothing reads the shuffle files that made it, so they are removed at once. release() removes a table
+    that has served its purpose.
     """
     spark = df.sparkSession
     df = df if rows is None else df.coalesce(max(1, -(-rows // 200_000)))
     at = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(at)
-    return spark.read.schema(schema).parquet(at)
+    before = {k: spark.conf.get(k, None) for k in _CLEANUP}
+    try:
+        for k in _CLEANUP:
+            spark.conf.set(k, "true")
+        df.write.parquet(at)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(schema).parquet(at)
+    out.staged_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that staged() returned; nothing may read them any more."""
+    for table in tables:
+        place = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bound(df: DataFrame, **columns) -> DataFrame:
