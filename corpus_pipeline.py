@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group linked by five-word shingles of Jaccard 0.8 or more."""
-    kept = jaccard_components(docs, percent=80, width=5).where("doc_id <=> component_id").select("doc_id")
+    kept = jaccard_components(docs, percent=80, width=5, links=False).where("doc_id <=> component_id").select("doc_id")
     kept = kept.distinct().withColumnRenamed("doc_id", "kept_id")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*docs.columns)
 
