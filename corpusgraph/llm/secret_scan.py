@@ -5,6 +5,8 @@ Only DataFrame and SQL functions run. Matches get their places from the lengths
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,40 +36,62 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern + "'" if "'" not in pattern else 'r"' + pattern.replace('"', r"\x22") + '"'
 
 
+_SPAN = "struct<s:int,k:int,e:int,m:string>"
+_RUN = 256  # matches whose places are summed in one fold
+
+
 def _spans(pattern: str, passes: str, kind: int) -> Column:
-    """Array of (start, kind, end, value) of a pattern's matches m that pass."""
+    """Array of (start, kind, end, value) of a pattern's matches m that pass.
+
+    A match starts after all pieces and matches before it. These sums run over blocks of _RUN matches and then over the
+    blocks, so that a fold's growing array stays short however many matches a text has.
+    """
     q = _quoted(pattern)
     found = f"regexp_extract_all(text, {q}, 0)"
-    folded = (
-        f"aggregate(zip_with({found}, slice(split(text, {q}, -1), 1, size({found})), (m, p) -> struct(m, length(p) as gap)),"
-        " struct(0 as at, cast(array() as array<struct<s:int,k:int,e:int,m:string>>) as out),"
-        f" (a, x) -> struct(a.at + x.gap + length(x.m) as at, if({passes.replace('{m}', 'x.m')}, array_append(a.out, struct(a.at + x.gap as s, {kind} as k, a.at + x.gap + length(x.m) as e, x.m as m)), a.out) as out), a -> a.out)"
+    length = "(x.gap + length(x.m))"
+    each = f"zip_with({found}, slice(split(text, {q}, -1), 1, size({found})), (m, p) -> struct(m, length(p) as gap))"
+    cut = f"transform(array({each}), xs -> transform(sequence(0, (size(xs) - 1) div {_RUN}), i -> slice(xs, i * {_RUN} + 1, {_RUN})))"
+    sums = f"transform({cut}[0], xs -> struct(xs, aggregate(xs, 0, (t, x) -> t + {length}) as total))"
+    starts = "aggregate({blocks}, struct(0 as at, cast(array() as array<int>) as out), (a, b) -> struct(a.at + b.total as at, array_append(a.out, a.at) as out), a -> a.out)"
+    inner = (
+        f"aggregate(b.xs, struct(at as at, cast(array() as array<{_SPAN}>) as out),"
+        f" (a, x) -> struct(a.at + {length} as at, array_append(a.out, struct(a.at + x.gap as s, {kind} as k, a.at + {length} as e, x.m as m)) as out), a -> a.out)"
     )
-    return F.expr(f"if(rlike(text, {q}), {folded}, cast(array() as array<struct<s:int,k:int,e:int,m:string>>))")
+    laid = f"flatten(transform(array({sums}), bs -> flatten(zip_with(bs, {starts.format(blocks='bs')}, (b, at) -> {inner}))))"
+    return F.expr(f"if(rlike(text, {q}), filter({laid}, x -> {passes.replace('{m}', 'x.m')}), cast(array() as array<{_SPAN}>))")
 
 
-def _count(window: str, char: str) -> str:
-    return f"(length({window}) - length(replace({window}, {char}, '')))"
+# a candidate's characters lie from + (43) to z (122); a window's counts are packed 12 to a long, 5 bits each
+_FIRST, _PACKED, _BITS = 43, 12, 5
+_LONGS = 7
 
 
-def _part(count: str) -> str:
-    """c log2 c, 0 of 0."""
-    return f"if({count} > 1, {count} * log2({count}), 0D)"
+def _entropy(codes: str, width: int) -> str:
+    """Largest entropy of a window of a candidate given as an array of places 0 to 79, in one pass.
 
-
-def _entropy(at: str, width: int) -> str:
-    """Largest entropy of a window of the string: the sum of c log2 c follows from the counts of the two characters that change."""
-    opening = f"substring({at}, 1, {width})"
-    first = f"aggregate(array_distinct(split({opening}, '')), 0D, (s, c) -> s + if(c = '', 0D, {_part(_count(opening, 'c'))}))"
-    inner = f"substring({at}, i, {width} - 1)"  # what both windows hold
-    gone, come = f"substring({at}, i - 1, 1)", f"substring({at}, i + {width} - 1, 1)"
-    leave, enter = _count(inner, gone), _count(inner, come)
-    step = f"a.s - ({_part(f'({leave} + 1)')} - {_part(leave)}) + ({_part(f'({enter} + 1)')} - {_part(enter)})"
-    least = (
-        f"aggregate(if(length({at}) > {width}, sequence(2, length({at}) - {width} + 1), cast(array() as array<int>)), struct({first} as s, {first} as low),"
-        f" (a, i) -> struct({step} as s, least(a.low, {step}) as low), a -> a.low)"
-    )
-    return f"log2(least({width}, length({at}))) - {least} / least({width}, length({at}))"
+    The fold carries the counts of the window's characters and the sum of c log2 c; a step takes one character out and one
+    in, which changes two counts. width is 31 at most, as a count has 5 bits.
+    """
+    if not 1 <= width < 1 << _BITS:
+        raise ValueError(f"width {width} isn't from 1 to {(1 << _BITS) - 1}")
+    parts = "array(" + ", ".join(f"{c * math.log2(c) if c else 0.0!r}D" for c in range(width + 2)) + ")"
+    get = lambda place: f"(shiftright(case {place} div {_PACKED} " + " ".join(f"when {j} then a.c{j}" for j in range(_LONGS)) + f" end, {_BITS} * ({place} % {_PACKED})) & 31)"
+    here, gone = f"{codes}[i]", f"{codes}[i - {width}]"
+    enter, leave = f"cast({get(here)} as int)", f"cast({get(gone)} as int)"
+    one = lambda place, j: f"if({place} div {_PACKED} = {j}, shiftleft(1L, {_BITS} * ({place} % {_PACKED})), 0L)"
+    grown = f"a.s + parts[{enter} + 1] - parts[{enter}]"
+    moved = f"if({here} = {gone}, a.s, {grown} + parts[{leave} - 1] - parts[{leave}])"
+    first = ", ".join(f"a.c{j} + {one(here, j)} as c{j}" for j in range(_LONGS))
+    later = ", ".join(f"a.c{j} + {one(here, j)} - {one(gone, j)} as c{j}" for j in range(_LONGS))
+    zero = ", ".join(f"0L as c{j}" for j in range(_LONGS))
+    opening = f"aggregate(sequence(0, least(size({codes}), {width}) - 1), struct({zero}, 0D as s, 0D as low), (a, i) -> struct({first}, {grown} as s, {grown} as low))"
+    rest = f"if(size({codes}) > {width}, sequence({width}, size({codes}) - 1), cast(array() as array<int>))"
+    least = f"aggregate({rest}, {opening}, (a, i) -> struct({later}, {moved} as s, least(a.low, {moved}) as low), a -> a.low)"
+    return f"transform(array({parts}), parts -> log2(least({width}, size({codes}))) - {least} / least({width}, size({codes})))[0]"
+
+
+def _codes(text: str) -> str:
+    return f"transform(split({text}, ''), c -> ascii(c) - {_FIRST})"
 
 
 def scan(docs: DataFrame, width: int = 20) -> DataFrame:
@@ -88,7 +112,9 @@ def scan(docs: DataFrame, width: int = 20) -> DataFrame:
         cg__more=_spans(CANDIDATE, f"rlike({{m}}, '[0-9]') and rlike({{m}}, '[A-Za-z]') and not ({allowed})", 3),
     )
     need = f"case when rlike(x.m, '^[0-9a-fA-F]+$') then {BITS['hex']}D when rlike(x.m, '^[0-9a-z]+$') then {BITS['lower']}D else {BITS['base64']}D end"
-    fresh = F.expr(f"filter(cg__more, x -> not exists(base, b -> b.s < x.e and x.s < b.e) and {_entropy('x.m', width)} >= {need})")
+    apart = "filter(cg__more, x -> not exists(base, b -> b.s < x.e and x.s < b.e))"
+    high = f"transform(array({_codes('x.m')}), codes -> {_entropy('codes', width)})[0]"
+    fresh = F.expr(f"filter({apart}, x -> {high} >= {need})")
     rows = bound(rows, found=F.when(F.size("cg__more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", fresh)))).withColumn("text", F.col(hidden))
     return rows.drop(hidden, "cg__more")
 
@@ -107,9 +133,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with each found span of text replaced by mark (overlapping ones by one); n_chars, if there, follows."""
-    given = docs.columns
-    rows = scan(docs)
+    """docs with each found span of text replaced by mark (overlapping ones by one); n_chars, if there, follows.
+
+    A null text stays null, a text without a span stays as it is, and all other columns pass through under any name;
+    repeated rows are each returned.
+    """
+    given, kind = docs.columns, docs.schema
+    kept = {c: f"cg__own_{c}" for c in ("base", "found") if c in given}
+    rows = scan(docs.withColumnsRenamed(kept))
     fold = (
         "aggregate(found, struct(0 as at, '' as out), (a, x) -> struct(greatest(a.at, x.e) as at,"
         f" if(x.s >= a.at, concat(a.out, substring(text, a.at + 1, x.s - a.at), '{mark}'), a.out) as out),"
@@ -118,5 +149,6 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     some = F.size("found") > 0
     out = bound(rows, cg__new=F.when(some, F.expr(fold)).otherwise(F.col("text")))
     if "n_chars" in given:
-        out = out.withColumn("n_chars", F.when(some, F.length("cg__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("cg__new")).select(*given)
+        out = out.withColumn("n_chars", F.when(some, F.length("cg__new").cast(kind["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    out = out.drop("base", "found").withColumn("text", F.col("cg__new")).withColumnsRenamed({v: k for k, v in kept.items()})
+    return out.select(*given)
