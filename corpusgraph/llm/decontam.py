@@ -1,9 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted-shingle similarity.
 
-Only DataFrame and SQL functions run. A window that reaches the similarity shares a shingle with its item, so every
-item-sized window that holds a shared shingle is laid, if what is shared weighs enough for the similarity. The windows'
-64-bit SimHashes are then looked up in the items' multi-index: of radius + 1 blocks, two fingerprints within the
-radius agree on one at least. What agrees is verified exactly.
+Only DataFrame and SQL functions run. A window that reaches the similarity to some item of its size shares enough weight
+with it, so windows that can't share that with any item of their size aren't laid. Which item a window may hold is then
+found by fingerprint alone: the windows' 64-bit SimHashes are looked up in the multi-index of all items of that size. Of
+radius + 1 blocks, two fingerprints within the radius agree on one at least. What agrees is verified exactly.
 """
 
 from __future__ import annotations
@@ -50,6 +50,19 @@ def _blocks(radius: int):
     return F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("f", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for i, (a, b) in enumerate(zip(cut, cut[1:]))])
 
 
+def _beside(rows: DataFrame, few: DataFrame, on, salt: str, most: int = 1 << 20, parts: int = 32) -> DataFrame:
+    """rows joined with few, which comes from the benchmark: broadcast if it is counted to have at most so many rows.
+
+    Beyond that each key is dealt over parts tasks by the hash of the salt column, so that a key which many rows have is
+    no single task.
+    """
+    if few.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(few), on)
+    few = few.withColumn("cg__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = rows.withColumn("cg__part", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
+    return rows.join(few, [*([on] if isinstance(on, str) else on), "cg__part"]).drop("cg__part")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width: int = 5, radius: int = 19) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, start_word, n_words, hamming, similarity).
 
@@ -57,8 +70,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     (case ignored) is at least threshold: the most similar window, the first of equal ones. A shingle weighs
     1 + ln(items / items that hold it); one outside the benchmark weighs as one in a single item. Items of fewer than
     width words have no shingle and match nothing; nor do null or empty texts on either side. A document shorter than an
-    item is one window. Repeated doc_ids are judged by row and reported once; null ids are carried. Fingerprints within
-    radius bits of the item's are all found by the blocks; radius 19 of 64 holds more than 99.8 % of pairs at 0.8.
+    item is one window. Repeated doc_ids are judged by row and reported once, as are items that share an id; null ids are
+    carried, columns besides id and text aren't read, and an empty table on either side gives an empty result. Fingerprints
+    within radius bits of the item's are all found by the blocks.
     """
     items = staged(_worded(benchmark, width, F.col("item_id").cast("long").alias("item_id")).where("size(sh) > 0").withColumn("iid", F.monotonically_increasing_id()))
     total = items.count()
@@ -79,7 +93,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     found = staged(found.withColumn("rid", F.monotonically_increasing_id()))
     hits = found.select("rid", F.col("n").alias("dn"), F.explode("hits").alias("x")).select("rid", "dn", F.col("x.p").alias("p"), F.col("x.h").alias("h"))
     held = where.select("iid", "n", "h").distinct().join(weights, "h")
-    held = hits.join(held, "h").groupBy("rid", "iid", "n", "dn").agg(F.collect_list("p").alias("ps"), F.collect_set(F.struct("h", "w")).alias("ws"))
+    held = _beside(hits, held, "h", "rid").groupBy("rid", "iid", "n", "dn").agg(F.collect_list("p").alias("ps"), F.collect_set(F.struct("h", "w")).alias("ws"))
     # what isn't shared only adds to the union: too little in the whole document or in a window is below the threshold
     least = f"{threshold} * all_w - 1e-9"
     held = held.join(known.select("iid", "all_w"), "iid").where(f"aggregate(ws, 0D, (s, x) -> s + x.w) >= {least}")
@@ -88,12 +102,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     cut = F.expr(f"transform(starts, i -> struct(i as start, slice(sh, i + 1, greatest(1, n - {width - 1})) as win))")
     laid = bound(found.select("rid", "doc_id", "sh").join(held, "rid"), laid=cut)
     enough = F.expr(f"filter(laid, x -> aggregate(array_intersect(x.win, hs), 0D, (s, h) -> s + wm[h]) >= {least})")
-    windows = laid.select("rid", "doc_id", "iid", F.explode(enough).alias("w")).select("rid", "doc_id", "iid", "w.*")
+    # a window is one of its document, place and size, whichever items it was laid for
+    windows = laid.select("rid", "doc_id", "n", F.explode(enough).alias("w")).select("rid", "doc_id", "n", "w.start", "w.win")
+    windows = windows.groupBy("rid", "n", "start").agg(F.first("doc_id").alias("doc_id"), F.first("win").alias("win"))
     windows = staged(windows.select("*", _fingerprint("win").alias("f")))
-    keyed = windows.select("rid", "iid", "start", F.explode(_blocks(radius)).alias("b")).select("rid", "iid", "start", "b.*")
-    index = known.select("iid", F.col("item_f").alias("f")).select("iid", F.explode(_blocks(radius)).alias("b")).select("iid", "b.*")
-    agree = keyed.join(index, ["iid", "i", "v"]).select("rid", "iid", "start").distinct()
-    near = windows.join(agree, ["rid", "iid", "start"]).join(known, "iid")
+    keyed = windows.select("rid", "n", "start", F.explode(_blocks(radius)).alias("b")).select("rid", "n", "start", "b.*")
+    index = known.select("iid", "n", F.col("item_f").alias("f")).select("iid", "n", F.explode(_blocks(radius)).alias("b")).select("iid", "n", "b.*")
+    agree = _beside(keyed, index, ["n", "i", "v"], "rid").select("rid", "n", "start", "iid").distinct()
+    near = windows.join(agree, ["rid", "n", "start"]).join(known.drop("n"), "iid")
     near = near.withColumn("hamming", F.bit_count(F.col("f").bitwiseXOR(F.col("item_f")))).where(F.col("hamming") <= radius)
     near = bound(near, both=F.expr("filter(shingles, x -> array_contains(win, x.h))"))
     shared = F.aggregate("both", F.lit(0.0), lambda s, x: s + x["w"])

@@ -181,12 +181,13 @@ def brute_windows(docs, items, threshold=0.8, width=5):
     """The first best of all item-sized windows of each document and item."""
     cut = lambda w: [tuple(w[i : i + width]) for i in range(len(w) - width + 1)]
     held = {i: (len(words(t)), set(cut(words(t)))) for i, t in items}
+    some = sum(1 for _, s in held.values() if s)
     df = collections.Counter(x for _, s in held.values() for x in s)
-    weigh = lambda s: sum(1 + math.log(len(held) / df.get(x, 1)) for x in s)
+    weigh = lambda s: sum(1 + math.log(some / df.get(x, 1)) for x in s)
     out = {}
     for d, t in docs:
         w = words(t)
-        for i, (n, s) in held.items():
+        for i, (n, s) in ((i, x) for i, x in held.items() if x[1]):
             tried = [(start, set(cut(w[start : start + n]))) for start in range(max(0, len(w) - n) + 1)]
             start, best = max(((start, weigh(s & x) / weigh(s | x)) for start, x in tried), key=lambda x: (round(x[1], 12), -x[0]))
             if best >= threshold - 1e-12:
@@ -194,7 +195,10 @@ def brute_windows(docs, items, threshold=0.8, width=5):
     return out
 
 
-def test_contamination_of_all_windows(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_contamination_of_all_windows(spark, monkeypatch, most):
+    beside = decontam._beside
+    monkeypatch.setattr(decontam, "_beside", lambda *a: beside(*a, most=most))
     rng = np.random.default_rng(11)
     items = []
     for i in range(40):
@@ -208,6 +212,11 @@ def test_contamination_of_all_windows(spark):
             w[at:at] = [f"d{d}n{at}x{k}" for k in range(int(rng.integers(0, 4)))]
         docs.append((d, " ".join([f"p{k}" for k in range(int(rng.integers(0, 30)))] + w + [f"q{k}" for k in range(int(rng.integers(0, 30)))])))
     docs.append((80, " ".join(["pre", *items[3][1].split()[:27], "new", "words", *items[3][1].split()[27:], "post"])))
+    for d, i in ((81, 4), (82, 5)):  # halves in the other order, alone and after other words
+        w = items[i][1].split()
+        docs.append((d, " ".join(["pad"] * 90 * (d - 81) + w[28:] + w[:28])))
+    docs += [(83, items[6][1]), (83, items[6][1]), (84, None), (85, "")]
+    items += [(50, items[7][1]), (51, None)]
     got = decontam.contaminated(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]): (r["start_word"], r["similarity"]) for r in got} == brute_windows(docs, items)
 
