@@ -97,21 +97,24 @@ def _places(weights: dict[str, float] | None, block_docs: int, period: int | Non
     return run
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 16, period: int | None = None, salts: int = 64) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int | None = None, period: int | None = None, part_docs: int = 200_000) -> DataFrame:
     """docs with block, slot, release, deadline and position_in_block: reading by (slot, position_in_block) mixes the sources.
 
-    Each source's documents, in an order by hash of doc_id, are cut into blocks of block_docs, and placed() gives every
-    block of the run its slot. While no source has run out, every prefix of slots has less than one block more or less of
+    Each source's documents, in an order by hash of doc_id, are cut into blocks of block_docs (16, or as many more as make
+    2 ** 22 blocks of the run, which one task orders in seconds), and placed() gives every block of the run its slot. While no source has run out, every prefix of slots has less than one block more or less of
     each source than its weight asks for. A source that has run out leaves its slots empty, so those left keep their
     proportions; no document is dropped or repeated. weights default to the square root of the sources' document counts
     and must name every source, of which there may be any number; they are met exactly, or if a period is given, as whole slots of it (shares()). Null
     sources are the source ''. Rows with equal doc_id are ordered by their text's hash. An empty table gives an empty
-    result. Columns with the added names are replaced.
+    result. Columns with the added names, or names that begin with cg__, are replaced.
     """
     added = ["block", "slot", "release", "deadline", "position_in_block"]
-    docs = docs.drop(*added)
+    docs = docs.drop(*added, *[c for c in docs.columns if c.startswith("cg__")])
     given = docs.columns
-    # the hot source is numbered in salts parts: a prefix sum over their counts gives each part its first number
+    total = docs.count()
+    block_docs = block_docs or max(16, total >> 22)
+    salts = 1 + total // part_docs
+    # a source is numbered in as many parts as the table has part_docs: a prefix sum over their counts gives each part its first number
     marked = docs.withColumn("cg__source", _source()).withColumn("cg__key", F.xxhash64("doc_id")).withColumn("cg__salt", F.pmod(F.shiftrightunsigned("cg__key", 20), F.lit(salts)))
     part = staged(marked.groupBy("cg__source", "cg__salt").agg(F.count("*").alias("cg__n")))
     count = part.groupBy("cg__source").agg(F.sum("cg__n").alias("cg__n"))
