@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.staging import sent
 from corpusgraph.llm.words import U, mix
 
 _ALPHA = np.zeros(0x110000, dtype=bool)
@@ -93,14 +94,16 @@ def _grams(chars: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def fit(texts: dict[str, list[str]], order: int = 4, slack: float = 1.6) -> Model:
-    """Interpolated Kneser-Ney of the given order for each language.
+def fit(texts: dict[str, list[str]], order: int = 4, slack: float = 1.6, back: int = 5) -> Model:
+    """Interpolated Kneser-Ney of the given order for each language, calibrated on texts that it isn't learnt from.
 
     Counts of the highest order are occurrences; those of lower orders are the distinct characters before. Each order's
-    discount is n1 / (n1 + 2 n2). A language accepts texts up to slack times the 0.999 quantile of its training texts'
-    cross-entropies.
+    discount is n1 / (n1 + 2 n2). Every back-th text is held back from learning; a language accepts texts up to slack times
+    the 0.999 quantile of its held back texts' cross-entropies (of the learnt ones' if there are fewer than back).
     """
     languages = sorted(texts)
+    held = {lang: some[back - 1 :: back] for lang, some in texts.items()}
+    texts = {lang: [t for i, t in enumerate(some) if i % back != back - 1] for lang, some in texts.items()}
     if not languages:
         return Model([], order, [], [], np.zeros(0), np.zeros(0))
     codes: dict[int, np.ndarray] = {}  # characters of each distinct n-gram of any language, by n
@@ -152,7 +155,7 @@ def fit(texts: dict[str, list[str]], order: int = 4, slack: float = 1.6) -> Mode
     model = Model(languages, order, probability, backoff, unknown, np.full(size, np.inf))
     limit = []
     for k, lang in enumerate(languages):
-        entropy = cross_entropy(model, texts[lang])[:, k]
+        entropy = cross_entropy(model, held[lang] or texts[lang])[:, k]
         entropy = entropy[np.isfinite(entropy)]
         limit.append(slack * float(np.quantile(entropy, 0.999)) if len(entropy) else np.inf)
     return model._replace(limit=np.array(limit))
@@ -228,7 +231,7 @@ def cross_entropy(model: Model, texts: list[str], most: int = 1 << 19) -> np.nda
     return out
 
 
-def training_sample(docs: DataFrame, rows_per_language: int = 400) -> dict[str, list[str]]:
+def training_sample(docs: DataFrame, rows_per_language: int = 500) -> dict[str, list[str]]:
     """At most rows_per_language whole texts of each language, by smallest hash of doc_id.
 
     Counting comes first, so that only about the wanted share of each language's rows is read to the driver.
@@ -254,9 +257,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     lang_pred is the language of the lowest cross-entropy per character (ties: first by name), 'und' for a null text or
     one without a letter, or if the model knows no language. score is its share of exp(-20 * cross-entropy) over all
-    languages. rejected is true for 'und' and beyond the language's calibrated cross-entropy.
+    languages and over no language, which stands at lang_pred's calibrated limit: a text at the limit scores one half at
+    most, one in no learnt script about 0. rejected is true for 'und' and beyond the limit. Repeated rows are each
+    predicted, other columns pass through under any name, and an empty table gives an empty result.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(model)
+    spread = sent(docs.sparkSession, model)
     docs = docs.drop("lang_pred", "score", "rejected")
     given = docs.columns
     hidden = "cg__text"
@@ -266,7 +271,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*docs.drop(hidden).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = spread.value
+        known = spread()
         names = np.array([*known.languages, _NONE], dtype=object)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
@@ -276,7 +281,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 low = entropy[np.arange(len(texts)), best]
                 some = np.isfinite(low)
                 with np.errstate(invalid="ignore"):
-                    score = np.where(some, 1 / np.exp(-20 * (entropy - low[:, None])).sum(axis=1), 0.0)
+                    other = np.exp(np.minimum(20 * (low - known.limit[best]), 700))
+                    score = np.where(some, 1 / (np.exp(-20 * (entropy - low[:, None])).sum(axis=1) + other), 0.0)
                     rejected = ~some | (low > known.limit[best])
                 pred = names[np.where(some, best, -1)]
             else:
@@ -291,7 +297,7 @@ def held_out(docs: DataFrame, fold: int = 0, folds: int = 5):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def language_id(docs: DataFrame, rows_per_language: int = 400, order: int = 4) -> DataFrame:
+def language_id(docs: DataFrame, rows_per_language: int = 500, order: int = 4) -> DataFrame:
     """docs(doc_id, text, lang, ...) with held_out, lang_pred, score and rejected: learnt from the other four folds only.
 
     lang is only read from rows that aren't held out; predictions use the text alone.
