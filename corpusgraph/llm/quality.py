@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.staging import beside, sent, staged
 from corpusgraph.llm.words import blocks
 
 FEATURES = 1 << 18
@@ -97,10 +98,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> tuple[list,
 
 def evidence(docs: DataFrame, good: Classifier, toxic: Classifier) -> DataFrame:
     """docs(doc_id, host, path, text) -> (doc_id, host, path, z_good, z_toxic): log odds by text alone."""
-    spread = docs.sparkSession.sparkContext.broadcast((good, toxic))
+    spread = sent(docs.sparkSession, (tuple(good), tuple(toxic)))
 
     def run(batches):
-        both = spread.value
+        both = [Classifier(*m) for m in spread()]
         for batch in batches:
             z = [[logit(m, w, s) for m in both] for w, s in features(batch.column("text"))]
             yield pa.record_batch([batch.column("doc_id"), batch.column("host"), batch.column("path"), pa.array([a for a, _ in z], pa.float64()), pa.array([b for _, b in z], pa.float64())], names=["doc_id", "host", "path", "z_good", "z_toxic"])
@@ -114,26 +115,36 @@ def site_of(url: str) -> tuple[Column, Column]:
     return host, F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
 
 
-def posteriors(rows: DataFrame, prior: float, path_strength: float = 20.0) -> DataFrame:
+def _strength(mean: float, spread: float) -> float:
+    """Beta prior's strength by moments: rates of this mean that differ by spread more than chance would make them."""
+    return min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1000.0
+
+
+def posteriors(rows: DataFrame, prior: float) -> DataFrame:
     """rows(doc_id, host, path, z_good, z_toxic) with host_rate, path_rate, p_good and p_toxic.
 
-    All rates come from one aggregate by (host, path), so a hot host is summed before it is shuffled. The Beta prior of
-    the hosts' rates is fit by moments; with one host, or hosts no more unlike than chance, it has strength 1000.
+    All rates come from one aggregate by (host, path), so a hot host is summed before it is shuffled. The strengths of the
+    Beta priors, of hosts around the global rate and of paths around their host's, are fit by moments; sites no more
+    unlike than chance give strength 1000. A document's own evidence is left out of the rates that it is joined with, so it
+    enters once. A host with one document has the global rate, a path with one its host's.
     """
     odds = lambda p: F.log(p / (1 - p))
     inverse = lambda z: 1 / (1 + F.exp(-z))
     rows = rows.withColumn("host", F.coalesce("host", F.lit(""))).withColumn("path", F.coalesce("path", F.lit("")))
-    paths = rows.groupBy("host", "path").agg(F.sum(inverse(F.col("z_good"))).alias("s"), F.count("*").alias("n"))
+    paths = staged(rows.groupBy("host", "path").agg(F.sum(inverse(F.col("z_good"))).alias("s"), F.count("*").alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
-    m = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n"), F.avg(F.col("hs") / F.col("hn")).alias("mean"), F.var_pop(F.col("hs") / F.col("hn")).alias("var"), F.avg(1 / F.col("hn")).alias("inv")).first()
+    m = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n"), F.var_pop(F.col("hs") / F.col("hn")).alias("var"), F.avg(1 / F.col("hn")).alias("inv")).first()
     mean = min(0.999, max(0.001, (m["s"] / m["n"]) if m["n"] else prior))
-    spread = (m["var"] or 0.0) - mean * (1 - mean) * (m["inv"] or 0.0)
-    strength = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1000.0
-    hosts = hosts.select("host", ((F.col("hs") + strength * mean) / (F.col("hn") + strength)).alias("host_rate"))
-    sites = paths.join(hosts, "host").select("host", "path", "host_rate", ((F.col("s") + path_strength * F.col("host_rate")) / (F.col("n") + path_strength)).alias("path_rate"))
-    out = rows.join(sites, ["host", "path"])
+    strength = _strength(mean, (m["var"] or 0.0) - mean * (1 - mean) * (m["inv"] or 0.0))
+    sites = paths.join(hosts, "host")
+    within, chance = F.pow(F.col("s") / F.col("n") - F.col("hs") / F.col("hn"), 2), F.col("hs") / F.col("hn") * (1 - F.col("hs") / F.col("hn")) / F.col("n")
+    w = sites.where("hn > n").agg(F.avg(within - chance).alias("spread")).first()
+    below = _strength(mean, w["spread"] or 0.0)
+    out = beside(rows, sites, ["host", "path"], "doc_id").withColumn("own", inverse(F.col("z_good")))
+    out = out.withColumn("host_rate", (F.col("hs") - F.col("own") + strength * mean) / (F.col("hn") - 1 + strength))
+    out = out.withColumn("path_rate", (F.col("s") - F.col("own") + below * F.col("host_rate")) / (F.col("n") - 1 + below))
     site = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("path_rate")))
-    return out.withColumn("p_good", inverse(F.col("z_good") - float(np.log(prior / (1 - prior))) + odds(site))).withColumn("p_toxic", inverse(F.col("z_toxic")))
+    return out.withColumn("p_good", inverse(F.col("z_good") - float(np.log(prior / (1 - prior))) + odds(site))).withColumn("p_toxic", inverse(F.col("z_toxic"))).drop("own", "s", "n", "hs", "hn")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> DataFrame:
@@ -141,10 +152,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> Dat
 
     Columns doc_id, host, path, host_rate, path_rate, p_good, p_toxic and keep (p_good and not p_toxic, both at one
     half). The classifiers are fit on at most sample_rows labelled documents; without labels all evidence is even and
-    everything is kept. Null texts are empty, null hosts and paths are ''. Repeated rows each count and are each returned.
+    everything is kept. A document with several labels has the lowest quality and is toxic if any says so. Null texts are
+    empty, null hosts and paths are ''. Repeated rows each count and are each returned; other columns aren't read. An empty
+    table gives an empty result.
     """
-    from corpusgraph.llm.staging import staged
-
     feats, quality, harm = sample(docs, labels, sample_rows)
     good, toxic = train(feats, quality), train(feats, harm)
     if not feats:
