@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.staging import staged
+from corpusgraph.llm.staging import moved, staged
 
 KEY = ("source", "lang", "tokenizer")
 
@@ -43,9 +45,9 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 class Rollup:
     """Additive totals kept as one small Parquet folder for each committed batch.
 
-    A batch's folder is named by its id, written once and complete when Spark's _SUCCESS is there. Committing an id again
-    changes nothing, whatever rows it brings; a batch that broke off has no _SUCCESS and is written anew. Totals are the
-    sums over committed batches, so batches may come in any order.
+    A batch is written to a folder of its own and then moved to the name of its id, which succeeds for one writer only.
+    Committing an id again changes nothing, whatever rows it brings; a batch that broke off leaves a folder that nothing
+    reads. Totals are the sums over committed batches, so batches may come in any order.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -67,8 +69,13 @@ class Rollup:
         if self.committed(batch):
             return False
         sums = deltas.groupBy(*KEY).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return True
+        own = f"{self.path}/_writing-{uuid.uuid4().hex}"
+        sums.write.parquet(own)
+        if moved(self.spark, own, f"{self.path}/batch={batch}"):
+            return True
+        fs, at = self._fs(own)
+        fs.delete(at, True)
+        return False
 
     def totals(self, keep_empty: bool = False) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens, n_batches); keys whose documents have all gone are left out unless asked for.
@@ -76,7 +83,7 @@ class Rollup:
         Null keys are keys of their own. No committed batch gives an empty table.
         """
         fs, at = self._fs(self.path)
-        done = [s.getPath().toString() for s in (fs.listStatus(at) if fs.exists(at) else []) if s.isDirectory() and self._fs(f"{s.getPath().toString()}/_SUCCESS")[0].exists(self._fs(f"{s.getPath().toString()}/_SUCCESS")[1])]
+        done = [s.getPath().toString() for s in (fs.listStatus(at) if fs.exists(at) else []) if s.isDirectory() and s.getPath().getName().startswith("batch=") and self._fs(f"{s.getPath().toString()}/_SUCCESS")[0].exists(self._fs(f"{s.getPath().toString()}/_SUCCESS")[1])]
         schema = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
         rows = self.spark.read.schema(schema).parquet(*done) if done else self.spark.createDataFrame([], schema)
         out = rows.groupBy(*KEY).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"), F.count("*").alias("n_batches"))
@@ -89,7 +96,8 @@ def maintained(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     Every document comes in with words.1 and bytes.1; those labelled toxic are deleted; then words.1 of the documents
     labelled quality 0 that are left is revised to count words with a letter or digit only. Texts are counted once, into a
     written ledger of a few numbers a document; deletes and revisions join the ledger, so no text is shuffled. A document
-    with several labels is toxic if any says so and of its lowest quality; rows that share a doc_id share its labels.
+    with several labels is toxic if any says so and of its lowest quality; rows that share a doc_id share its labels. Null
+    texts count 0, null sources and languages are keys, a null doc_id has no label, and empty tables give an empty result.
     """
     table = Rollup(docs.sparkSession, path)
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
