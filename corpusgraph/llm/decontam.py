@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.staging import bound, staged
+from corpusgraph.llm.staging import beside, bound, staged
 
 BITS = 1 << 19  # of the shingle filter; a fixed 64 KB, however many items there are
 _SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -50,19 +50,6 @@ def _blocks(radius: int):
     return F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("f", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for i, (a, b) in enumerate(zip(cut, cut[1:]))])
 
 
-def _beside(rows: DataFrame, few: DataFrame, on, salt: str, most: int = 1 << 20, parts: int = 32) -> DataFrame:
-    """rows joined with few, which comes from the benchmark: broadcast if it is counted to have at most so many rows.
-
-    Beyond that each key is dealt over parts tasks by the hash of the salt column, so that a key which many rows have is
-    no single task.
-    """
-    if few.limit(most + 1).count() <= most:
-        return rows.join(F.broadcast(few), on)
-    few = few.withColumn("cg__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rows = rows.withColumn("cg__part", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
-    return rows.join(few, [*([on] if isinstance(on, str) else on), "cg__part"]).drop("cg__part")
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width: int = 5, radius: int = 19) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, item_id, start_word, n_words, hamming, similarity).
 
@@ -93,7 +80,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     found = staged(found.withColumn("rid", F.monotonically_increasing_id()))
     hits = found.select("rid", F.col("n").alias("dn"), F.explode("hits").alias("x")).select("rid", "dn", F.col("x.p").alias("p"), F.col("x.h").alias("h"))
     held = where.select("iid", "n", "h").distinct().join(weights, "h")
-    held = _beside(hits, held, "h", "rid").groupBy("rid", "iid", "n", "dn").agg(F.collect_list("p").alias("ps"), F.collect_set(F.struct("h", "w")).alias("ws"))
+    held = beside(hits, held, "h", "rid").groupBy("rid", "iid", "n", "dn").agg(F.collect_list("p").alias("ps"), F.collect_set(F.struct("h", "w")).alias("ws"))
     # what isn't shared only adds to the union: too little in the whole document or in a window is below the threshold
     least = f"{threshold} * all_w - 1e-9"
     held = held.join(known.select("iid", "all_w"), "iid").where(f"aggregate(ws, 0D, (s, x) -> s + x.w) >= {least}")
@@ -108,7 +95,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     windows = staged(windows.select("*", _fingerprint("win").alias("f")))
     keyed = windows.select("rid", "n", "start", F.explode(_blocks(radius)).alias("b")).select("rid", "n", "start", "b.*")
     index = known.select("iid", "n", F.col("item_f").alias("f")).select("iid", "n", F.explode(_blocks(radius)).alias("b")).select("iid", "n", "b.*")
-    agree = _beside(keyed, index, ["n", "i", "v"], "rid").select("rid", "n", "start", "iid").distinct()
+    agree = beside(keyed, index, ["n", "i", "v"], "rid").select("rid", "n", "start", "iid").distinct()
     near = windows.join(agree, ["rid", "n", "start"]).join(known.drop("n"), "iid")
     near = near.withColumn("hamming", F.bit_count(F.col("f").bitwiseXOR(F.col("item_f")))).where(F.col("hamming") <= radius)
     near = bound(near, both=F.expr("filter(shingles, x -> array_contains(win, x.h))"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,39 @@ def bound(df: DataFrame, **columns) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in columns]
     return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
+def beside(rows: DataFrame, few: DataFrame, on, salt: str, most: int = 1 << 20, parts: int = 32) -> DataFrame:
+    """rows joined with few: broadcast if few is counted to have at most so many rows.
+
+    Beyond that each key is dealt over parts tasks by the hash of the salt column, so that a key which many rows have is
+    no single task.
+    """
+    if few.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(few), on)
+    few = few.withColumn("cg__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = rows.withColumn("cg__part", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
+    return rows.join(few, [*([on] if isinstance(on, str) else on), "cg__part"]).drop("cg__part")
+
+
+def sent(spark: SparkSession, value) -> Callable:
+    """A function that gives value on the executors, which need no copy of this package to read it."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder to a name that nothing has yet; False, and no change, if something has it."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    start, end = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(start.getFileSystem(conf).getUri(), conf)
+    never = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        files.rename(start, end, never)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName() or "is not empty" in str(e.java_exception.getMessage()):
+            return False
+        raise
+    return True

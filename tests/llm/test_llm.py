@@ -197,8 +197,8 @@ def brute_windows(docs, items, threshold=0.8, width=5):
 
 @pytest.mark.parametrize("most", [1 << 20, 0])
 def test_contamination_of_all_windows(spark, monkeypatch, most):
-    beside = decontam._beside
-    monkeypatch.setattr(decontam, "_beside", lambda *a: beside(*a, most=most))
+    beside = decontam.beside
+    monkeypatch.setattr(decontam, "beside", lambda *a: beside(*a, most=most))
     rng = np.random.default_rng(11)
     items = []
     for i in range(40):
@@ -272,6 +272,17 @@ def test_language_id(spark):
     assert none.count() == 0
 
 
+def test_language_id_rejects_other_scripts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    own = spark.createDataFrame([(10**6, "\u0437\u0434\u0440\u0430\u0432\u0441\u0442\u0432\u0443\u0439 \u043c\u0438\u0440 " * 9, None, 4), (10**6 + 1, "\u3053\u3093\u306b\u3061\u306f \u4e16\u754c " * 9, None, 4), (10**6 + 1, "\u3053\u3093", None, None)], DOC + ", lang string, score int")
+    rows = langid.language_id(docs.selectExpr("*", "1 as score").unionAll(own)).collect()
+    new = [r for r in rows if r["doc_id"] >= 10**6]
+    assert len(new) == 3 and all(r["rejected"] and r["score"] < 0.01 for r in new)
+    assert sum(not r["rejected"] for r in rows if r["lang"]) > 0.999 * sum(r["lang"] is not None for r in rows)
+    clear = [r["score"] for r in rows if r["lang"] and r["lang"] == r["lang_pred"]]
+    assert np.median(clear) > 0.99
+
+
 def test_kneser_ney_adds_up():
     m = langid.fit({"a": ["abc abd bca", "cab"], "b": ["xyz zyx"]}, order=3)
     chars = [0] + [ord(c) for c in "abcdxyz"]
@@ -359,6 +370,13 @@ def test_rollup_commits_once(spark, tmp_path):
     assert got == {"s": (2, 2), None: (1, 0)}
     with pytest.raises(ValueError):
         table.commit("a/b", rollup.inserts(counts))
+    late = rollup.Rollup(spark, table.path)
+    late.committed = lambda batch: False  # a writer that looked before the other one had ended
+    assert not late.commit("one", rollup.inserts(counts)) and table.totals().count() == 2
+    none = docs.limit(0)
+    labels = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert rollup.maintained(none, labels, str(tmp_path / "n")).count() == 0
+    assert {r["n_docs"] for r in rollup.maintained(docs, labels, str(tmp_path / "m")).collect()} == {1, 2}
 
 
 def test_quality(spark):
@@ -373,6 +391,28 @@ def test_quality(spark):
     assert quality.classify(docs, labels.limit(0)).where("keep").count() == docs.count()
 
 
+def test_posteriors_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, f"h{i % 7}" if i % 3 else "hot", f"p{i % 5}", float(z), 0.0) for i, z in enumerate(rng.normal(size=400) * 2 + (np.arange(400) % 7) - 3)]
+    rows += [(400, "one", "x", 1.0, 0.0), (400, "one", "x", 1.0, 0.0), (401, None, None, 0.5, 0.0)]
+    got = quality.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, z_good double, z_toxic double"), 0.6).collect()
+    known = [(r[1] or "", r[2] or "", 1 / (1 + math.exp(-r[3]))) for r in rows]
+    site, host = collections.defaultdict(list), collections.defaultdict(list)
+    for h, p, y in known:
+        site[h, p].append(y)
+        host[h].append(y)
+    mean = np.mean([y for _, _, y in known])
+    rate = {h: np.mean(v) for h, v in host.items()}
+    strength = lambda spread: min(1000, max(1, mean * (1 - mean) / spread - 1)) if spread > 0 else 1000
+    s1 = strength(np.var(list(rate.values())) - mean * (1 - mean) * np.mean([1 / len(v) for v in host.values()]))
+    s2 = strength(np.mean([(np.mean(v) - rate[k[0]]) ** 2 - rate[k[0]] * (1 - rate[k[0]]) / len(v) for k, v in site.items() if len(v) < len(host[k[0]])]))
+    want = []
+    for h, p, y in known:
+        a = (sum(host[h]) - y + s1 * mean) / (len(host[h]) - 1 + s1)
+        want.append((h, p, a, (sum(site[h, p]) - y + s2 * a) / (len(site[h, p]) - 1 + s2)))
+    assert sorted((r["host"], r["path"], round(r["host_rate"], 9), round(r["path_rate"], 9)) for r in got) == sorted((h, p, round(a, 9), round(b, 9)) for h, p, a, b in want)
+
+
 def test_sites(spark):
     host, path = quality.site_of("u")
     rows = spark.createDataFrame([("https://A.example.com/fr/8?x",), ("not a url",)], "u string").select(host.alias("h"), path.alias("p")).collect()
