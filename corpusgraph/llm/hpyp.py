@@ -1,38 +1,41 @@
 """Hierarchical Pitman-Yor language model over words, seated by Gibbs sampling.
 
-Each token is a customer in the restaurant of its context, the hash class of the word before it (CONTEXTS classes). All
-context restaurants share one parent, the unigram restaurant, whose customers are their tables; its base is diffuse, so a
-word that training never saw is "a new dish". Table counts are resampled in sweeps, and predictive probabilities are
-averaged over the sweeps after burn-in.
-
-Tokens are dealt once to buckets by word, as packed arrays of distinct (word, context, document) entries. A bucket holds
-all contexts of its words, so their unigram tables are local; only the totals of the CONTEXTS restaurants, arrays of fixed
-size, are exchanged between sweeps. Words with a large share of the corpus are spread over buckets by context, and their
-totals, a list of bounded length, are exchanged too.
+Each token is a customer in the restaurant of its context, the word before it (32 bits of its hash). All context
+restaurants share one parent, the unigram restaurant, whose customers are their tables; its own tables share a base that is
+even over the known words and one new word. In each sweep the number of tables of every (context, word), and then of every
+word in the unigram restaurant, is drawn from its exact conditional distribution given the other totals as last exchanged.
+Predictive probabilities are averaged over the sweeps after burn-in, each with the totals that go with its tables.
+
+Counts are dealt to buckets by word, so that a word's tables are local to a bucket. What a bucket needs of others are the
+totals of its contexts: it sends its own, in ranges of contexts, to the tasks that add them up, and is sent the sums. A
+bucket's state is one row of packed arrays; a sweep reads it with the totals and writes the next. Words with a large share
+of the corpus are spread over buckets by context, and their totals, a list of bounded length, go through the driver. At
+the end the texts' tokens are dealt to the buckets, scored there and added up by document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.staging import staged
+from corpusgraph.llm.staging import release, staged
 from corpusgraph.llm.words import U, blocks, mix
 
-CONTEXTS = 1 << 16
 CHUNK_TOKENS = 1 << 20
 CHUNK_DOCS = 1 << 15
-BUCKET_BYTES = 16 << 20  # of text for each bucket
+BUCKET_BYTES = 8 << 20  # of text for each bucket
+PART_ENTRIES = 1 << 22  # of a bucket's (document, word, context) entries that one task scores
+EXACT = 512  # customers of a dish up to which the number of its tables is drawn exactly
 _END = U(0x9AE16A3B2F90404F)
 _START = U(0xC949D7C7509E6557)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Chunks of (doc_ids, null ids, held, tokens of each document, word hash, context, document index)."""
+    """Chunks of (doc_ids, held, tokens of each document, word hash, context, document index)."""
     ids, held, sizes, words, size, docs = [], [], [], [], 0, 0
     for batch in batches:
         key = batch.column("doc_id").cast(pa.int64())
@@ -46,7 +49,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             ids.append(key.slice(block.first, n))
             held.append(flag[block.first : block.first + n])
             sizes.append(block.count + 1)
-            words.append((w, (mix(before) >> U(48)).astype(np.uint16)))
+            words.append((w, (mix(before) >> U(32)).astype(np.uint32)))
             size, docs = size + len(w), docs + n
             if size >= CHUNK_TOKENS or docs >= CHUNK_DOCS // 2:
                 yield from _cut(ids, held, sizes, words)
@@ -64,15 +67,58 @@ def _cut(ids, held, sizes, words) -> Iterator[tuple]:
         yield key.slice(a, b - a), flag[a:b], count[a:b], w[lo:hi], k[lo:hi], np.repeat(np.arange(b - a), count[a:b])
 
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("w", pa.binary()), ("m", pa.binary()), ("k", pa.binary()), ("d", pa.binary()), ("tf", pa.binary()), ("docs", pa.binary())])
-_DEALT_SQL = "bucket int, chunk long, w binary, m binary, k binary, d binary, tf binary, docs binary"
+def _home(words: np.ndarray, place: np.ndarray, k: np.ndarray, buckets: int, heavy: np.ndarray) -> np.ndarray:
+    """The bucket of each (word, context); heavy words are spread by context."""
+    home = (mix(words ^ U(0x2545F4914F6CDD1D)) % U(buckets)).astype(np.int64)[place]
+    if len(heavy):
+        salted = np.isin(words, heavy)[place]
+        home[salted] = (home[salted] + k[salted]) % buckets
+    return home
 
 
-def _bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(words ^ U(0x2545F4914F6CDD1D)) % U(buckets)).astype(np.int64)
+def _dealt(home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its places) for the buckets that have any."""
+    order = np.argsort(home, kind="stable")
+    cut = np.flatnonzero(np.diff(home[order], prepend=-1))
+    for a, b in zip(cut, [*cut[1:], len(order)]):
+        yield int(home[order[a]]), order[a:b]
 
 
-def _deal(buckets: int, heavy: np.ndarray):
+def _grouped(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal places begins, and its length."""
+    first = np.flatnonzero(np.diff(places, prepend=-1))
+    return first, np.diff(np.append(first, len(places)))
+
+
+_COUNT_SQL = "bucket int, w binary, m binary, k binary, c binary, entries long"
+
+
+def _counts(buckets: int, heavy: np.ndarray):
+    """Rows of a chunk's (word, context) pairs with their training tokens, for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held, _, w, k, doc in _tokens(batches):
+            words, place = np.unique(w, return_inverse=True)
+            key, at = np.unique((place.astype(np.uint64) << U(32)) | k, return_inverse=True)
+            train = np.bincount(at, weights=~held[doc], minlength=len(key)).astype(np.int64)
+            entries = np.bincount(at, minlength=len(key))
+            place, k = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.uint32)
+            rows = []
+            for b, mine in _dealt(_home(words, place, k, buckets, heavy)):
+                first, many = _grouped(place[mine])
+                rows.append((b, words[place[mine][first]].tobytes(), many.astype(np.uint32).tobytes(), k[mine].tobytes(), train[mine].tobytes(), int(entries[mine].sum())))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4, pa.int64()))], names=["bucket", "w", "m", "k", "c", "entries"])
+
+    return run
+
+
+_ENTRY_SQL = "bucket int, salt int, chunk long, w binary, m binary, k binary, d binary, tf binary, docs binary"
+_ENTRY = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("chunk", pa.int64()), *[(x, pa.binary()) for x in ("w", "m", "k", "d", "tf", "docs")]])
+
+
+def _entries(buckets: int, heavy: np.ndarray, salts: dict[int, int]):
+    """Rows of a chunk's (word, context, document) entries for each bucket; one of them also carries the chunk's documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -80,25 +126,18 @@ def _deal(buckets: int, heavy: np.ndarray):
         for number, (ids, held, count, w, k, doc) in enumerate(_tokens(batches)):
             chunk = (part << 24) + number
             words, place = np.unique(w, return_inverse=True)
-            key = (place.astype(np.uint64) << U(31)) | (k.astype(np.uint64) << U(15)) | doc.astype(np.uint64)
-            key, tf = np.unique(key, return_counts=True)
-            place, k, doc = (key >> U(31)).astype(np.int64), ((key >> U(15)) & U(0xFFFF)).astype(np.uint16), (key & U(0x7FFF)).astype(np.int64)
-            home = _bucket_of(words, buckets)[place]
-            if len(heavy):
-                salted = np.isin(words, heavy)[place]
-                home[salted] = (home[salted] + k[salted] % 64) % buckets
-            order = np.argsort(home, kind="stable")
-            at = np.searchsorted(home[order], np.arange(buckets + 1))
-            d = ((doc << 1) | held[doc]).astype(np.uint16)
+            order = np.lexsort((doc, k, place))
+            place, k, doc = place[order], k[order], doc[order]
+            new = (np.diff(place, prepend=-1) != 0) | (np.diff(k.astype(np.int64), prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)
+            first = np.flatnonzero(new)
+            tf = np.diff(np.append(first, len(place))).astype(np.uint32)
+            place, k, d = place[first], k[first], doc[first].astype(np.uint16)
             table = b"".join((np.array([len(count)], np.int64).tobytes(), ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), held.astype(np.uint8).tobytes(), count.astype(np.int64).tobytes()))
-            keeper, rows = chunk % buckets, []
-            for b in range(buckets):
-                mine = order[at[b] : at[b + 1]]
-                if not len(mine) and b != keeper:
-                    continue
-                first = np.flatnonzero(np.diff(place[mine], prepend=-1))
-                rows.append((b, chunk, words[place[mine][first]].tobytes(), np.diff(np.append(first, len(mine))).astype(np.uint32).tobytes(), k[mine].tobytes(), d[mine].tobytes(), tf[mine].astype(np.uint32).tobytes(), table if b == keeper else None))
-            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _DEALT)], schema=_DEALT)
+            rows = []
+            for b, mine in _dealt(_home(words, place, k, buckets, heavy)):
+                first, many = _grouped(place[mine])
+                rows.append((b, chunk % salts.get(b, 1), chunk, words[place[mine][first]].tobytes(), many.astype(np.uint32).tobytes(), k[mine].tobytes(), d[mine].tobytes(), tf[mine].tobytes(), None if rows else table))
+            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
 
     return run
 
@@ -115,114 +154,192 @@ def _common(buckets: int):
     return run
 
 
-class _Bucket:
-    """A bucket's entries and its table of distinct (word, context) pairs."""
-
-    def __init__(self, chunks: list[dict], heavy: np.ndarray):
-        of = lambda name, kind: [np.frombuffer(c[name] or b"", kind) for c in chunks]
-        w, m, k, d, tf = of("w", np.uint64), of("m", np.uint32), of("k", np.uint16), of("d", np.uint16), of("tf", np.uint32)
-        self.size = [len(x) for x in k]
-        self.words, place = np.unique(np.concatenate(w), return_inverse=True)
-        place = np.repeat(place, np.concatenate(m))
-        self.d, self.tf = np.concatenate(d), np.concatenate(tf).astype(np.int64)
-        key = (place.astype(np.uint64) << U(16)) | np.concatenate(k)
-        pairs, self.pair = np.unique(key, return_inverse=True)
-        self.word, self.context = (pairs >> U(16)).astype(np.int64), (pairs & U(0xFFFF)).astype(np.int64)
-        trained = np.where(self.d & 1, 0, self.tf)
-        self.count = np.bincount(self.pair, weights=trained, minlength=len(pairs)).astype(np.int64)
-        self.total = np.bincount(self.word, weights=self.count, minlength=len(self.words)).astype(np.int64)
-        self.tables = np.minimum(self.count, 1)
-        at = np.searchsorted(heavy, self.words)
-        self.heavy = np.flatnonzero(heavy[np.minimum(at, len(heavy) - 1)] == self.words) if len(heavy) else np.zeros(0, np.int64)
-        self.heavy_at = at[self.heavy]
-
-    def sums(self, heavy: int) -> dict:
-        """What the other buckets need of this one: arrays of fixed or bounded length."""
-        by_word = np.bincount(self.word, weights=self.tables, minlength=len(self.words))
+def stirling(d: float, n: int) -> np.ndarray:
+    """Logs of the generalised Stirling numbers S_d(c, t) for c and t up to n: ways to seat c customers at t tables."""
+    out = np.full((n + 1, n + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(n + 1)
+    for c in range(1, n):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = out[c] + np.log(np.maximum(c - d * t, 0))
+        out[c + 1, 1:] = np.logaddexp(out[c, :-1], stay[1:])
+    return out
+
+
+def seated(rng: np.random.Generator, logs: np.ndarray, d: float, c: np.ndarray, odds: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Draws the number of tables of dishes with c customers each.
+
+    odds(rows, j) is the log weight of a dish's table number j + 1, other things equal: t tables have the probability
+    S_d(c, t) * exp(odds(0) + ... + odds(t - 1)), up to a constant. Up to EXACT customers the draw is exact; customers past
+    those are seated in blocks an eighth as long as those before, within which the odds of a new table are constant.
+    """
+    t = np.minimum(c, 1).astype(np.int64)
+    most = len(logs) - 1
+    capped = np.minimum(c, most)
+    rows = np.flatnonzero(capped >= 2)
+    rows = rows[np.argsort(capped[rows], kind="stable")]
+    first, many = _grouped(capped[rows])
+    for a, n in zip(first, many):
+        size = int(capped[rows[a]])
+        j = np.arange(size)
+        for at in range(a, a + n, max(1, (1 << 19) // size)):
+            mine = rows[at : min(a + n, at + max(1, (1 << 19) // size))]
+            weight = np.cumsum(odds(mine[:, None], j[None, :]), axis=1) + logs[size, 1 : size + 1]
+            t[mine] = np.argmax(weight + rng.gumbel(size=weight.shape), axis=1) + 1
+    rows = np.flatnonzero(c > most)
+    rows = rows[np.argsort(-c[rows], kind="stable")]
+    low = most
+    while len(rows):
+        step = max(1, low // 8)
+        size = np.minimum(c[rows], low + step) - low
+        new = np.exp(odds(rows, t[rows]))
+        t[rows] += rng.binomial(size, np.clip(new / (low + (size - 1) / 2 - d * t[rows] + new), 0, 1))
+        low += step
+        rows = rows[c[rows] > low]
+    return t
+
+
+class Bucket:
+    """A bucket's pairs, in order of word and context, and the numbers of tables of pairs and words."""
+
+    ARRAYS = {"words": np.uint64, "m": np.uint32, "k": np.uint32, "c": np.int64, "t": np.int64, "r": np.int64, "acc": np.float32, "ctx": np.uint32, "own": np.int64, "cust": np.int64}
+
+    def __init__(self, row: dict, heavy: np.ndarray):
+        for name, kind in self.ARRAYS.items():
+            setattr(self, name, np.frombuffer(row[name], kind))
+        self.number, self.entries = row["bucket"], row["entries"]
+        self.word = np.repeat(np.arange(len(self.words)), self.m)
+        self.at = np.searchsorted(self.ctx, self.k)  # of a pair's context in ctx
+        place = np.searchsorted(heavy, self.words)
+        self.heavy = np.flatnonzero(heavy[np.minimum(place, len(heavy) - 1)] == self.words) if len(heavy) else np.zeros(0, np.int64)
+        self.heavy_at = place[self.heavy]
+        self.total = np.bincount(self.word, weights=self.c, minlength=len(self.words)).astype(np.int64)
+
+    @classmethod
+    def gathered(cls, number: int, chunks: list[dict], heavy: np.ndarray) -> Bucket:
+        """From the rows of _counts(); each word that training has begins with a table in each of its contexts, and one in the unigram restaurant."""
+        of = lambda name, kind: np.concatenate([np.frombuffer(c[name], kind) for c in chunks])
+        words, place = np.unique(of("w", np.uint64), return_inverse=True)
+        key, at = np.unique((np.repeat(place, of("m", np.uint32)).astype(np.uint64) << U(32)) | of("k", np.uint32), return_inverse=True)
+        c = np.bincount(at, weights=of("c", np.int64), minlength=len(key)).astype(np.int64)
+        word, k = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.uint32)
+        ctx, at = np.unique(k, return_inverse=True)
+        known = np.bincount(word, weights=c, minlength=len(words)) > 0
+        some = {"words": words, "m": np.bincount(word, minlength=len(words)), "k": k, "c": c, "t": np.minimum(c, 1), "r": known, "acc": np.zeros(len(k)), "ctx": ctx, "own": np.zeros(len(ctx)), "cust": np.bincount(at, weights=c, minlength=len(ctx))}
+        row = {name: np.asarray(some[name]).astype(kind).tobytes() for name, kind in cls.ARRAYS.items()}
+        return cls(row | {"bucket": number, "entries": sum(x["entries"] for x in chunks)}, heavy)
+
+    def row(self) -> dict:
+        """The state to write, with what others need of it: tables by context, and the sums that go through the driver."""
+        self.own = np.bincount(self.at, weights=self.t, minlength=len(self.ctx)).astype(np.int64)
+        tables = self.by_word()
         light = np.ones(len(self.words), bool)
         light[self.heavy] = False
-        hc, ht = np.zeros(heavy), np.zeros(heavy)
-        hc[self.heavy_at], ht[self.heavy_at] = self.total[self.heavy], by_word[self.heavy]
-        one = [(self.count == 1).sum(), (self.count == 2).sum(), ((by_word == 1) & light).sum(), ((by_word == 2) & light).sum(), ((self.total > 0) & light).sum()]
-        context = lambda x: np.bincount(self.context, weights=x, minlength=CONTEXTS)
-        return {"customers": context(self.count), "tables": context(self.tables), "heavy_count": hc, "heavy_tables": ht, "some": np.array(one, float)}
-
-    def word_tables(self, state: dict) -> np.ndarray:
-        out = np.bincount(self.word, weights=self.tables, minlength=len(self.words))
-        out[self.heavy] = state["heavy_tables"][self.heavy_at]
-        return out
+        sums = [(-1, self.t.sum(), self.r[light].sum()), (-2, (self.c == 1).sum(), (self.c == 2).sum()), (-3, ((tables == 1) & light).sum(), ((tables == 2) & light).sum()), (-4, ((self.total > 0) & light).sum(), self.c.sum())]
+        sums += list(zip(self.heavy_at, self.total[self.heavy], tables[self.heavy]))
+        return {"bucket": self.number, "entries": self.entries, "sums": np.array(sums, np.int64).tobytes(), **{name: getattr(self, name).astype(kind).tobytes() for name, kind in self.ARRAYS.items()}}
 
-    def word_counts(self, state: dict) -> np.ndarray:
-        out = self.total.astype(float)
-        out[self.heavy] = state["heavy_count"][self.heavy_at]
-        return out
+    def by_word(self) -> np.ndarray:
+        return np.bincount(self.word, weights=self.t, minlength=len(self.words)).astype(np.int64)
 
-    def sweep(self, state: dict, model: dict, seed: tuple) -> None:
-        """Seats the customers of every (context, word) anew, given all other tables as they were after the last exchange.
+    def word_counts(self, model: dict) -> np.ndarray:
+        out = self.total.copy()
+        out[self.heavy] = model["heavy_count"][self.heavy_at]
+        return out
 
-        The first 64 customers are seated one by one, those after in blocks an eighth as long as the customers before,
-        within which the odds of a new table are taken as constant.
-        """
+    def unigram(self, model: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each word in the unigram restaurant."""
+        customers, tables = self.by_word(), self.r.copy()
+        customers[self.heavy], tables[self.heavy] = model["heavy_tables"][self.heavy_at], model["heavy_root"][self.heavy_at]
+        return customers, tables
+
+    def probability(self, model: dict, tables: np.ndarray) -> np.ndarray:
+        """Predictive probability of each pair, given the tables of all contexts in ctx."""
+        customers, root = self.unigram(model)
+        parent = (customers - model["d0"] * root + (model["theta0"] + model["d0"] * model["root"]) * model["base"]) / (model["theta0"] + model["tables"])
+        there = model["theta1"] + self.cust[self.at]
+        return (self.c - model["d1"] * self.t) / there + (model["theta1"] + model["d1"] * tables[self.at]) / there * parent[self.word]
+
+    def sweep(self, model: dict, tables: np.ndarray, seed: tuple) -> None:
+        """Draws the tables of every pair, then of every word, given all other totals as they were after the last exchange."""
         rng = np.random.default_rng(seed)
-        many = np.flatnonzero(self.count >= 2)
-        many = many[np.argsort(-self.count[many], kind="stable")]
-        c, own = self.count[many], self.tables[many].astype(float)
-        parent = np.maximum(self.word_tables(state)[self.word[many]] - own - model["d0"], 0) / (model["theta0"] + model["tables"] - own)
-        others = model["theta1"] + model["d1"] * (state["tables"][self.context[many]] - own)
-        t = np.ones(len(many))
-        low, step = 1, 1
-        while len(c) and low < c[0]:
-            n = int(np.searchsorted(-c, -low, side="left"))  # those with more than low customers
-            size = np.minimum(c[:n], low + step) - low
-            new = np.maximum(others[:n] + model["d1"] * t[:n], 0) * parent[:n]
-            odds = new / (low + (step - 1) / 2 - model["d1"] * t[:n] + new)
-            t[:n] += rng.random(n) < odds if step == 1 else rng.binomial(size, np.clip(odds, 0, 1))
-            low += step
-            step = 1 if low < 64 else low // 8
-        self.tables[many] = np.minimum(t, c).astype(np.int64)
-
-    def probability(self, state: dict, model: dict) -> np.ndarray:
-        """Predictive probability of each pair."""
-        known = self.word_counts(state) > 0
-        parent = np.where(known, self.word_tables(state) - model["d0"], model["theta0"] + model["d0"] * model["kinds"]) / (model["theta0"] + model["tables"])
-        there = model["theta1"] + state["customers"][self.context]
-        back = (model["theta1"] + model["d1"] * state["tables"][self.context]) / there
-        return np.maximum(self.count - model["d1"] * self.tables, 0) / there + back * parent[self.word]
-
-
-_SUMS = ("customers", "tables", "heavy_count", "heavy_tables", "some")
-_STATE = pa.schema([("bucket", pa.int32()), ("chunks", pa.list_(pa.struct([*[(f.name, f.type) for f in _DEALT][1:]]))), *[(s, pa.binary()) for s in _SUMS]])
-_STATE_SQL = "bucket int, chunks array<struct<chunk: long, w: binary, m: binary, k: binary, d: binary, tf: binary, docs: binary>>, " + ", ".join(f"{s} binary" for s in _SUMS)
-
-
-def _gathered(heavy: np.ndarray):
-    def run(table: pa.Table) -> pa.Table:
-        chunks = sorted(table.drop_columns(["bucket"]).to_pylist(), key=lambda c: c["chunk"])
-        sums = _Bucket(chunks, heavy).sums(len(heavy))
-        return pa.table([[table["bucket"][0].as_py()], [chunks], *[[sums[s].tobytes()] for s in _SUMS]], schema=_STATE)
+        d1, d0 = model["d1"], model["d0"]
+        many = np.flatnonzero(self.c >= 2)
+        c, own, word = self.c[many], self.t[many], self.word[many]
+        customers, root = self.unigram(model)
+        others = model["theta1"] + d1 * (tables[self.at[many]] - own)
+        rest = customers[word] - own
+        kept = np.minimum(root[word], rest)  # tables of the word that the unigram restaurant has without these customers
+        every = model["root"] - root[word] + kept
+        even = (model["theta0"] + d0 * every) * model["base"]
+        size = model["theta0"] + model["tables"] - own
+        new = (kept == 0) * 1.0  # the first of them opens one
+
+        def odds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            opened = new[i] * (j > 0)
+            up = rest[i] + j - d0 * (kept[i] + opened) + even[i] + d0 * opened * model["base"]
+            return np.log(others[i] + d1 * j) + np.log(up) - np.log(size[i] + j)
+
+        self.t = self.t.copy()
+        self.t[many] = seated(rng, model["logs1"], d1, c, odds)
+        customers = self.by_word()
+        customers[self.heavy] = 0  # the driver seats these
+        left = np.maximum(model["root"] - self.r, 0)
+        self.r = seated(rng, model["logs0"], d0, customers, lambda i, j: np.log(model["theta0"] + d0 * (left[i] + j)) + np.log(model["base"]))
+
+
+_STATE_SQL = "bucket int, entries long, sums binary, " + ", ".join(f"{x} binary" for x in Bucket.ARRAYS)
+
+
+def _row(row: dict) -> pa.Table:
+    kinds = {"bucket": pa.int32(), "entries": pa.int64()}
+    return pa.table({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
+
+
+def _ranges(groups: int):
+    """Rows (group, bucket, ctx, own, cust) of a state's contexts in ranges, one for each group that has any."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ctx, own, cust = (np.frombuffer(row[x], Bucket.ARRAYS[x]) for x in ("ctx", "own", "cust"))
+                group = ((ctx.astype(np.uint64) * U(groups)) >> U(32)).astype(np.int64)
+                first, many = _grouped(group)
+                cut = np.append(first, len(ctx))
+                packed = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(x.tobytes())])  # noqa: B023, E731
+                yield pa.record_batch([pa.array(group[first].astype(np.int32)), pa.array(np.full(len(first), row["bucket"], np.int32)), packed(ctx), packed(own), packed(cust)], names=["group", "bucket", "ctx", "own", "cust"])
 
     return run
 
 
-def _exchange(rows: DataFrame, parts: int = 16) -> dict:
-    """Sums the buckets' arrays: first in parts groups, then here."""
+def _added(table: pa.Table) -> pa.Table:
+    """The totals of a range of contexts, as each bucket asked for them."""
+    ctx, own, cust = ([np.frombuffer(x.as_py(), Bucket.ARRAYS[name]) for x in table[name]] for name in ("ctx", "own", "cust"))
+    _, at = np.unique(np.concatenate(ctx), return_inverse=True)
+    cut = np.cumsum([len(x) for x in ctx])[:-1]
+    total = lambda x: [y.tobytes() for y in np.split(np.bincount(at, weights=np.concatenate(x)).astype(np.int64)[at], cut)]
+    return pa.table([table["bucket"], table["group"], pa.array(total(own), pa.binary()), pa.array(total(cust), pa.binary())], names=["bucket", "group", "own", "cust"])
+
 
-    def run(table: pa.Table) -> pa.Table:
-        got = [np.sum([np.frombuffer(x.as_py(), float) for x in table[s]], axis=0) for s in _SUMS]
-        return pa.table([[g.tobytes()] for g in got], schema=pa.schema([(s, pa.binary()) for s in _SUMS]))
+def _totals(state: DataFrame, groups: int) -> DataFrame:
+    """(bucket, group, own, cust): all buckets' tables and customers of the contexts of each bucket."""
+    some = state.select("bucket", "ctx", "own", "cust").mapInArrow(_ranges(groups), "group int, bucket int, ctx binary, own binary, cust binary")
+    return some.groupBy("group").applyInArrow(lambda t: _added(t), "bucket int, group int, own binary, cust binary")
 
-    grouped = rows.select((F.col("bucket") % parts).alias("part"), *_SUMS).groupBy("part").applyInArrow(lambda t: run(t), ", ".join(f"{s} binary" for s in _SUMS))
-    got = grouped.collect()  # parts rows of about a megabyte
-    return {s: np.sum([np.frombuffer(bytes(r[s]), float) for r in got], axis=0) for s in _SUMS}
 
+def _summed(state: DataFrame) -> dict[int, tuple[int, int]]:
+    """The buckets' sums by key: four of the whole, and one for each heavy word."""
+
+    def run(batches):
+        for batch in batches:
+            rows = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in batch.column(0)]).reshape(-1, 3)
+            yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=["key", "a", "b"])
 
-def _buckets(batch: pa.RecordBatch, heavy: np.ndarray) -> Iterator[tuple[int, list[dict], _Bucket]]:
-    for i in range(batch.num_rows):
-        chunks = batch.column("chunks")[i].as_py()
-        yield batch.column("bucket")[i].as_py(), chunks, _Bucket(chunks, heavy)
+    rows = state.select("sums").mapInArrow(run, "key long, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return {r["key"]: (r["a"], r["b"]) for r in rows.collect()}  # as many as there are heavy words, and four
 
 
-def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fold: int = 1, folds: int = 5, strength: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def score(docs: DataFrame, sweeps: int = 6, burn_in: int = 2, seed: int = 1, fold: int = 1, folds: int = 5, strength: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Tokens are words without ASCII white space, A to Z lower-cased, then one end. Documents whose crc32(doc_id as text)
@@ -230,7 +347,8 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
     one before; a token outside training has the probability of a new word. base_score is the add-half unigram's.
     Discounts come from the counts of ones and twos. Perplexity per token is 10 ** (-score / n_tokens). Null texts
     are empty: one token, the end. A null doc_id isn't held out. Repeated rows train and are scored as often as they
-    appear. An empty table gives an empty result; without training documents every token is unknown.
+    appear; other columns aren't read. An empty table gives an empty result; without training documents every token is
+    unknown.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False)).alias("held_out"))
     spark = docs.sparkSession
@@ -239,87 +357,102 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
     # which words are spread over buckets only changes where work is done: a sample of fixed size finds them
     part = docs.sample(min(1.0, (64 << 20) / size), seed) if size else docs
     common = part.mapInArrow(_common(buckets), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    seen = common.where("w = 0").first()
-    limit = max(64, (seen["n"] if seen else 0) // (4 * buckets))
+    limit = max(64, (common.where("w = 0").agg(F.sum("n")).first()[0] or 0) // (4 * buckets))
     heavy = np.sort(np.array([r["w"] for r in common.where(f"w <> 0 and n >= {limit}").select("w").collect()], dtype=np.int64).view(np.uint64))  # 4 * buckets at most
-    spread = spark.sparkContext.broadcast(heavy)
+    known = spark.sparkContext.broadcast(heavy)
 
-    def gathered(table: pa.Table) -> pa.Table:
-        return _gathered(spread.value)(table)
+    def count(batches):
+        yield from _counts(buckets, known.value)(batches)
 
-    def deal(batches):
-        yield from _deal(buckets, spread.value)(batches)
+    def gather(table: pa.Table) -> pa.Table:
+        return _row(Bucket.gathered(table["bucket"][0].as_py(), table.to_pylist(), known.value).row())
 
-    state_rows = staged(docs.mapInArrow(deal, _DEALT_SQL).groupBy("bucket").applyInArrow(gathered, _STATE_SQL))
-    first = _exchange(state_rows)
-    if not np.ndim(first["some"]):
+    state = staged(docs.mapInArrow(count, _COUNT_SQL).groupBy("bucket").applyInArrow(gather, _STATE_SQL))
+    sums = _summed(state)
+    if not sums:
+        release(state)
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    ones, twos, lone, pairs, kinds = first["some"]
-    lone, pairs = lone + (first["heavy_tables"] == 1).sum(), pairs + (first["heavy_tables"] == 2).sum()
-    kinds += (first["heavy_count"] > 0).sum()
+    of_heavy = lambda i: np.array([sums.get(j, (0, 0))[i] for j in range(len(heavy))], np.int64)
+    (ones, twos), (lone, pairs), (kinds, n_train) = sums[-2], sums[-3], sums[-4]
+    heavy_count = of_heavy(0)
+    kinds, lone, pairs = kinds + int((heavy_count > 0).sum()), lone + int((of_heavy(1) == 1).sum()), pairs + int((of_heavy(1) == 2).sum())
     share = lambda a, b: float(min(0.95, max(0.05, a / (a + 2 * b)))) if a + b else 0.5
-    fixed = {"d1": share(ones, twos), "d0": share(lone, pairs), "theta0": strength[0], "theta1": strength[1], "kinds": float(kinds)}
-    history = [first]
-
-    def swept(bucket: _Bucket, number: int, states: list[dict]) -> Iterator[dict]:
-        for s, state in enumerate(states):
-            model = fixed | {"tables": float(state["tables"].sum())}
-            bucket.sweep(state, model, (seed, number, s))
-            yield model
-
-    for _ in range(sweeps - 1):
-        sent = spark.sparkContext.broadcast(history)
-
-        def again(batches, sent=sent):
-            for batch in batches:
-                for number, _, bucket in _buckets(batch, spread.value):
-                    for _ in swept(bucket, number, sent.value):
-                        pass
-                    sums = bucket.sums(len(spread.value))
-                    yield pa.record_batch([pa.array([number], pa.int32()), *[pa.array([sums[s].tobytes()]) for s in _SUMS]], names=["bucket", *_SUMS])
-
-        history = [*history, _exchange(state_rows.select("bucket", "chunks").mapInArrow(again, "bucket int, " + ", ".join(f"{s} binary" for s in _SUMS)))]
-    sent = spark.sparkContext.broadcast(history)
-    n_train = float(first["customers"].sum())
-
-    def scored(batches):
-        states = sent.value
-        for batch in batches:
-            for number, chunks, bucket in _buckets(batch, spread.value):
-                total = np.zeros(len(bucket.count))
-                for s, _ in enumerate(swept(bucket, number, states)):
-                    if s >= burn_in or s == len(states) - 1:
-                        # the totals that go with these tables are only known for earlier sweeps; the newest are near them
-                        now = states[min(s + 1, len(states) - 1)]
-                        total += bucket.probability(now, fixed | {"tables": float(now["tables"].sum())})
-                kept = max(1, len(states) - burn_in)
-                logs = np.log10(total / kept)
-                words = bucket.word_counts(states[0])
-                base = np.log10((words + 0.5) / (n_train + 0.5 * (kinds + 1)))[bucket.word]
-                seen = (words > 0)[bucket.word]
-                at = np.concatenate([[0], np.cumsum(bucket.size)])
-                for i, chunk in enumerate(chunks):
-                    mine = slice(at[i], at[i + 1])
-                    pair, tf = bucket.pair[mine], bucket.tf[mine]
-                    doc, place = np.unique(bucket.d[mine] >> 1, return_inverse=True)
-                    add = lambda x: np.bincount(place, weights=x * tf, minlength=len(doc))  # noqa: B023, E731
-                    values = (doc.astype(np.uint16), add(base[pair]), add(logs[pair]), add(seen[pair]).astype(np.uint32))
-                    yield pa.record_batch([pa.array([chunk["chunk"]], pa.int64()), *[pa.array([v.tobytes()], pa.binary()) for v in values], pa.array([chunk["docs"]], pa.binary())], names=["chunk", "d", "base", "score", "known", "docs"])
+    fixed = {"d1": share(ones, twos), "d0": share(lone, pairs), "theta0": strength[0], "theta1": strength[1], "base": 1 / (kinds + 1), "heavy_count": heavy_count}
+    root = (heavy_count > 0).astype(np.int64)
+    logs0 = stirling(fixed["d0"], EXACT)
+
+    def model_of(sums: dict, root: np.ndarray) -> dict:
+        return fixed | {"heavy_tables": of_heavy(1), "heavy_root": root, "tables": sums[-1][0], "root": sums[-1][1] + int(root.sum())}
+
+    def swept(sent, number: int, last: bool):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            model, bucket = sent.value, Bucket(left.to_pylist()[0], known.value)
+            got = sorted(right.select(["group", "own", "cust"]).to_pylist(), key=lambda x: x["group"])
+            tables = np.frombuffer(b"".join(x["own"] for x in got), np.int64)
+            if number == 0:
+                bucket.cust = np.frombuffer(b"".join(x["cust"] for x in got), np.int64)
+            if number >= burn_in or last:
+                bucket.acc = bucket.acc + bucket.probability(model, tables).astype(np.float32)
+            if not last:
+                logs = {"logs1": stirling(model["d1"], min(EXACT, max(2, int(bucket.c.max(initial=2))))), "logs0": stirling(model["d0"], EXACT)}
+                bucket.sweep(model | logs, tables, (seed, number, bucket.number))
+            return _row(bucket.row())
+
+        return run
+
+    # the totals of the tables after s sweeps are those of exchange s, so the averaged probabilities of each sweep add up
+    for s in range(sweeps + 1):
+        sent = spark.sparkContext.broadcast(model_of(sums, root))
+        # the customers of contexts are fixed, and in the state after the first exchange
+        new = staged(state.groupBy("bucket").cogroup(_totals(state, buckets).groupBy("bucket")).applyInArrow(swept(sent, s, s == sweeps), _STATE_SQL))
+        release(state)
+        state = new
+        if s < sweeps:
+            sums = _summed(state)
+            spread = sum(x[1] for k, x in sums.items() if k == -1) + int(root.sum()) - root
+            d0, theta0, base = fixed["d0"], fixed["theta0"], fixed["base"]
+            root = seated(np.random.default_rng((seed, s)), logs0, d0, of_heavy(1), lambda i, j: np.log(theta0 + d0 * (spread[i] + j)) + np.log(base))
+    averaged = max(1, sweeps + 1 - burn_in) if sweeps >= burn_in else 1
+    salts = {r["bucket"]: r["n"] for r in state.select("bucket", (1 + F.floor(F.col("entries") / PART_ENTRIES)).alias("n")).where("n > 1").collect()}  # buckets with a hot pair
+    words_of = spark.sparkContext.broadcast(heavy_count)
+
+    def deal(batches):
+        yield from _entries(buckets, known.value, salts)(batches)
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows:
+            bucket = Bucket(right.to_pylist()[0], known.value)
+            logs = np.log10(bucket.acc.astype(np.float64) / averaged)
+            words = bucket.word_counts({"heavy_count": words_of.value})
+            base = np.log10((words + 0.5) / (n_train + 0.5 * (kinds + 1)))
+            key = (bucket.word.astype(np.uint64) << U(32)) | bucket.k
+            for row in left.to_pylist():
+                place = np.repeat(np.searchsorted(bucket.words, np.frombuffer(row["w"], np.uint64)), np.frombuffer(row["m"], np.uint32))
+                pair = np.searchsorted(key, (place.astype(np.uint64) << U(32)) | np.frombuffer(row["k"], np.uint32))
+                tf = np.frombuffer(row["tf"], np.uint32)
+                doc, at = np.unique(np.frombuffer(row["d"], np.uint16), return_inverse=True)
+                add = lambda x: np.bincount(at, weights=x * tf, minlength=len(doc))  # noqa: B023, E731
+                values = (doc, add(base[place]), add(logs[pair]).astype(np.float32), add(words[place] > 0).astype(np.uint32))
+                out.append((row["chunk"], *(v.tobytes() for v in values), row["docs"]))
+        names = ("chunk", "d", "base", "score", "known", "docs")
+        return pa.table({n: pa.array([x[i] for x in out], pa.binary() if i else pa.int64()) for i, n in enumerate(names)})
 
     def summed(table: pa.Table) -> pa.Table:
         docs_of = next(x.as_py() for x in table["docs"] if x.is_valid)
         n = int(np.frombuffer(docs_of, np.int64, 1)[0])
         ids, rest = np.frombuffer(docs_of, np.int64, n, 8), 8 + 8 * n
         null, held = np.frombuffer(docs_of, np.uint8, n, rest), np.frombuffer(docs_of, np.uint8, n, rest + n)
-        count = np.frombuffer(docs_of, np.int64, n, rest + 2 * n)
-        base, value, known = np.zeros(n), np.zeros(n), np.zeros(n)
+        many = np.frombuffer(docs_of, np.int64, n, rest + 2 * n)
+        base, value, seen = np.zeros(n), np.zeros(n), np.zeros(n)
         for r in table.select(["d", "base", "score", "known"]).to_pylist():
             d = np.frombuffer(r["d"], np.uint16)
             base[d] += np.frombuffer(r["base"])
-            value[d] += np.frombuffer(r["score"])
-            known[d] += np.frombuffer(r["known"], np.uint32)
-        columns = [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(count), pa.array(known.astype(np.int64)), pa.array(np.full(n, int(n_train), np.int64)), pa.array(base), pa.array(value)]
+            value[d] += np.frombuffer(r["score"], np.float32)
+            seen[d] += np.frombuffer(r["known"], np.uint32)
+        columns = [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(many), pa.array(seen.astype(np.int64)), pa.array(np.full(n, n_train, np.int64)), pa.array(base), pa.array(value)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    parts = state_rows.select("bucket", "chunks").mapInArrow(scored, "chunk long, d binary, base binary, score binary, known binary, docs binary")
+    cells = state.withColumn("salt", F.explode(F.expr(f"sequence(0, cast(floor(entries / {PART_ENTRIES}) as int))")))
+    parts = docs.mapInArrow(deal, _ENTRY_SQL).groupBy("bucket", "salt").cogroup(cells.groupBy("bucket", "salt")).applyInArrow(scored, "chunk long, d binary, base binary, score binary, known binary, docs binary")
     return parts.groupBy("chunk").applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

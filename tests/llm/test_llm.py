@@ -237,25 +237,84 @@ def test_language_model(spark):
     assert hpyp.score(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_seating_is_exact():
+    """Against every way to seat a few customers one by one."""
+    d = 0.6
+    logs = hpyp.stirling(d, 6)
+    ways = collections.Counter({(1,): 1.0})
+    for n in range(1, 6):
+        more = collections.Counter()
+        for tables, p in ways.items():
+            more[tuple(sorted((*tables, 1)))] += p
+            for i, x in enumerate(tables):
+                more[tuple(sorted((*tables[:i], x + 1, *tables[i + 1 :])))] += p * (x - d)
+        ways = more
+        total = collections.Counter()
+        for tables, p in ways.items():
+            total[len(tables)] += p
+        for t, p in total.items():
+            assert math.exp(logs[n + 1, t]) == pytest.approx(p)
+    odds = lambda i, j: np.log(0.7 + 0.6 * j) + np.log(0.3) + 0 * i
+    drawn = hpyp.seated(np.random.default_rng(1), logs, d, np.full(200_000, 5), odds)
+    weight = np.array([math.exp(logs[5, t]) * math.prod((0.7 + 0.6 * j) * 0.3 for j in range(t)) for t in range(1, 6)])
+    assert np.bincount(drawn, minlength=6)[1:] / len(drawn) == pytest.approx(weight / weight.sum(), abs=0.005)
+    large = hpyp.seated(np.random.default_rng(1), hpyp.stirling(d, 64), d, np.array([10**6, 100, 1, 0]), odds)
+    assert 1 <= large[0] <= 10**6 and 1 <= large[1] <= 100 and large[2:].tolist() == [1, 0]
+
+
+def _small_bucket(rng, words_=20, contexts=4):
+    w, k = np.arange(1, words_ + 1, dtype=np.uint64), np.tile(np.arange(contexts, dtype=np.uint32) << 8, words_)
+    c = rng.integers(0, 60, words_ * contexts) * rng.integers(0, 2, words_ * contexts)
+    chunk = {"w": w.tobytes(), "m": np.full(words_, contexts, np.uint32).tobytes(), "k": k.tobytes(), "c": c.astype(np.int64).tobytes(), "entries": 1}
+    return hpyp.Bucket.gathered(0, [chunk], np.zeros(0, np.uint64))
+
+
+def _model_of(b, d1=0.6, d0=0.5):
+    sums = {r[0]: r[1:] for r in np.frombuffer(b.row()["sums"], np.int64).reshape(-1, 3).tolist()}
+    none = np.zeros(0, np.int64)
+    kinds = int((b.total > 0).sum())
+    return {"d1": d1, "d0": d0, "theta0": 1.0, "theta1": 1.0, "base": 1 / (kinds + 1), "heavy_count": none, "heavy_tables": none, "heavy_root": none, "tables": sums[-1][0], "root": sums[-1][1], "logs1": hpyp.stirling(d1, 64), "logs0": hpyp.stirling(d0, 64)}
+
+
 def test_probabilities_add_up():
-    """Over the vocabulary and the new word, each context's probabilities sum to one."""
-    rng = np.random.default_rng(3)
-    words_, ctx = np.arange(1, 21, dtype=np.uint64), np.arange(4, dtype=np.uint16)
-    w, k = np.repeat(words_, 4), np.tile(ctx, 20)
-    tf = rng.integers(0, 6, 80).astype(np.uint32)
-    chunk = {"w": words_.tobytes(), "m": np.full(20, 4, np.uint32).tobytes(), "k": k.tobytes(), "d": np.zeros(80, np.uint16).tobytes(), "tf": tf.tobytes()}
-    b = hpyp._Bucket([chunk], np.zeros(0, np.uint64))
-    state = b.sums(0)
-    fixed = {"d1": 0.6, "d0": 0.5, "theta0": 1.0, "theta1": 1.0, "kinds": float((b.total > 0).sum())}
-    b.sweep(state, fixed | {"tables": state["tables"].sum()}, (1, 2))
-    assert (b.tables <= b.count).all() and (b.tables[b.count > 0] >= 1).all()
-    state = b.sums(0)
-    model = fixed | {"tables": state["tables"].sum()}
-    p = b.probability(state, model).reshape(20, 4)
-    new = (model["theta0"] + model["d0"] * model["kinds"]) / (model["theta0"] + model["tables"])
-    back = (model["theta1"] + model["d1"] * state["tables"][:4]) / (model["theta1"] + state["customers"][:4])
-    known = b.total > 0
-    assert p[known].sum(axis=0) + new * back == pytest.approx(np.ones(4))
+    """Over the vocabulary and the new word, each context's averaged probabilities sum to one."""
+    b = _small_bucket(np.random.default_rng(3))
+    known, total, new = b.total > 0, np.zeros(4), np.zeros(4)
+    for s in range(5):
+        b.sweep(_model_of(b), b.own, (1, s))
+        model = _model_of(b)
+        assert (b.t <= b.c).all() and (b.t[b.c > 0] >= 1).all() and (b.r <= b.by_word()).all() and (b.r[known] >= 1).all()
+        total += b.probability(model, b.own).reshape(20, 4)[known].sum(axis=0)
+        there = model["theta1"] + b.cust
+        new += (model["theta1"] + model["d1"] * b.own) / there * (model["theta0"] + model["d0"] * model["root"]) * model["base"] / (model["theta0"] + model["tables"])
+    assert total / 5 + new / 5 == pytest.approx(np.ones(4))
+    alone = _small_bucket(np.random.default_rng(3), 1, 1)
+    alone.c = np.array([50])
+    assert max(alone.sweep(_model_of(alone), alone.own, (2, s)) or alone.t[0] for s in range(200)) > 1
+
+
+def test_language_model_scores_match_brute_force(spark):
+    """Without a sweep every pair has one table, and the score follows from the counts alone."""
+    rows = [(i, t) for i, t in enumerate(["a b a b c", "a b b c a a", None, "c c c A B", "b zz a", "a", "d e f a b c"])] + [(0, "a b a b c"), (None, "b a")]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    tokens = [(d, [*words(t), "</s>"]) for d, t in rows]
+    pair, tables = collections.Counter(), collections.Counter()
+    for d, x in tokens:
+        if not held(d):
+            pair.update(zip(["<s>", *x], x))
+    ctx, ctx_tables = collections.Counter(), collections.Counter()
+    for (u, w), n in pair.items():
+        ctx[u] += n
+        ctx_tables[u] += 1
+        tables[w] += 1
+    share = lambda v: min(0.95, max(0.05, v.count(1) / (v.count(1) + 2 * v.count(2))))
+    d1, d0 = share(list(pair.values())), share(list(tables.values()))
+    kinds, all_tables = len(tables), sum(tables.values())
+    p0 = lambda w: (max(tables[w] - d0, 0) * (w in tables) + (1 + d0 * kinds) / (kinds + 1)) / (1 + all_tables)
+    p = lambda u, w: max(pair[u, w] - d1 * (pair[u, w] > 0), 0) / (1 + ctx[u]) + (1 + d1 * ctx_tables[u]) / (1 + ctx[u]) * p0(w)
+    want = sorted((d if d is not None else -1, round(sum(math.log10(p(u, w)) for u, w in zip(["<s>", *x], x)), 4)) for d, x in tokens)
+    got = hpyp.score(spark.createDataFrame(rows, DOC), sweeps=0).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, round(r["score"], 4)) for r in got) == want
 
 
 def test_language_id(spark):
