@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from corpusgraph.llm.staging import release, staged
 from corpusgraph.llm.words import U, blocks, mix
 
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 CHUNK_DOCS = 1 << 15
-BUCKET_BYTES = 8 << 20  # of text for each bucket
-PART_ENTRIES = 1 << 22  # of a bucket's (document, word, context) entries that one task scores
-EXACT = 512  # customers of a dish up to which the number of its tables is drawn exactly
+BUCKET_BYTES = 3 << 20  # of text for each bucket
+PART_ENTRIES = 1 << 21  # of a bucket's (document, word, context) entries that one task scores
+EXACT = 256  # customers of a dish up to which the number of its tables is drawn exactly
 _END = U(0x9AE16A3B2F90404F)
 _START = U(0xC949D7C7509E6557)
 
@@ -67,6 +67,21 @@ def _cut(ids, held, sizes, words) -> Iterator[tuple]:
         yield key.slice(a, b - a), flag[a:b], count[a:b], w[lo:hi], k[lo:hi], np.repeat(np.arange(b - a), count[a:b])
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Non-negative whole numbers as byte planes, the lowest first, up to the highest byte that any of them has."""
+    x = np.ascontiguousarray(x, np.int64)
+    planes = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return b"".join(x.view(np.uint8).reshape(-1, 8)[:, i].tobytes() for i in range(planes))
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The n numbers of packed()."""
+    out = np.zeros((n, 8), np.uint8)
+    if n and data:
+        out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return out.view(np.int64)[:, 0]
+
+
 def _home(words: np.ndarray, place: np.ndarray, k: np.ndarray, buckets: int, heavy: np.ndarray) -> np.ndarray:
     """The bucket of each (word, context); heavy words are spread by context."""
     home = (mix(words ^ U(0x2545F4914F6CDD1D)) % U(buckets)).astype(np.int64)[place]
@@ -99,14 +114,16 @@ def _counts(buckets: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held, _, w, k, doc in _tokens(batches):
             words, place = np.unique(w, return_inverse=True)
-            key, at = np.unique((place.astype(np.uint64) << U(32)) | k, return_inverse=True)
-            train = np.bincount(at, weights=~held[doc], minlength=len(key)).astype(np.int64)
-            entries = np.bincount(at, minlength=len(key))
-            place, k = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.uint32)
+            key = (place.astype(np.uint64) << U(32)) | k
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=~key[order[0]]))
+            train = np.add.reduceat(~held[doc[order]], first, dtype=np.int64)
+            entries = np.diff(np.append(first, len(key)))
+            place, k = place[order[first]], k[order[first]]
             rows = []
             for b, mine in _dealt(_home(words, place, k, buckets, heavy)):
                 first, many = _grouped(place[mine])
-                rows.append((b, words[place[mine][first]].tobytes(), many.astype(np.uint32).tobytes(), k[mine].tobytes(), train[mine].tobytes(), int(entries[mine].sum())))
+                rows.append((b, words[place[mine][first]].tobytes(), many.astype(np.uint32).tobytes(), k[mine].tobytes(), packed(train[mine]), int(entries[mine].sum())))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4, pa.int64()))], names=["bucket", "w", "m", "k", "c", "entries"])
 
     return run
@@ -126,17 +143,17 @@ def _entries(buckets: int, heavy: np.ndarray, salts: dict[int, int]):
         for number, (ids, held, count, w, k, doc) in enumerate(_tokens(batches)):
             chunk = (part << 24) + number
             words, place = np.unique(w, return_inverse=True)
-            order = np.lexsort((doc, k, place))
-            place, k, doc = place[order], k[order], doc[order]
-            new = (np.diff(place, prepend=-1) != 0) | (np.diff(k.astype(np.int64), prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)
-            first = np.flatnonzero(new)
-            tf = np.diff(np.append(first, len(place))).astype(np.uint32)
-            place, k, d = place[first], k[first], doc[first].astype(np.uint16)
+            key = (place.astype(np.uint64) << U(32)) | k
+            order = np.argsort(key, kind="stable")  # documents stay in order
+            key, doc = key[order], doc[order]
+            first = np.flatnonzero((np.diff(key, prepend=~key[0]) != 0) | (np.diff(doc, prepend=-1) != 0))
+            tf = np.diff(np.append(first, len(key)))
+            place, k, d = place[order[first]], k[order[first]], doc[first].astype(np.uint16)
             table = b"".join((np.array([len(count)], np.int64).tobytes(), ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), held.astype(np.uint8).tobytes(), count.astype(np.int64).tobytes()))
             rows = []
             for b, mine in _dealt(_home(words, place, k, buckets, heavy)):
                 first, many = _grouped(place[mine])
-                rows.append((b, chunk % salts.get(b, 1), chunk, words[place[mine][first]].tobytes(), many.astype(np.uint32).tobytes(), k[mine].tobytes(), d[mine].tobytes(), tf[mine].tobytes(), None if rows else table))
+                rows.append((b, chunk % salts.get(b, 1), chunk, words[place[mine][first]].tobytes(), many.astype(np.uint32).tobytes(), k[mine].tobytes(), d[mine].tobytes(), packed(tf[mine]), None if rows else table))
             yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
 
     return run
@@ -202,11 +219,15 @@ def seated(rng: np.random.Generator, logs: np.ndarray, d: float, c: np.ndarray,
 class Bucket:
     """A bucket's pairs, in order of word and context, and the numbers of tables of pairs and words."""
 
-    ARRAYS = {"words": np.uint64, "m": np.uint32, "k": np.uint32, "c": np.int64, "t": np.int64, "r": np.int64, "acc": np.float32, "ctx": np.uint32, "own": np.int64, "cust": np.int64}
+    PLAIN = {"words": np.uint64, "k": np.uint32, "acc": np.float32, "ctx": np.uint32}
+    PACKED = {"m": "words", "c": "k", "t": "k", "r": "words", "own": "ctx", "cust": "ctx"}  # each as long as the other
 
     def __init__(self, row: dict, heavy: np.ndarray):
-        for name, kind in self.ARRAYS.items():
+        for name, kind in self.PLAIN.items():
             setattr(self, name, np.frombuffer(row[name], kind))
+        for name, other in self.PACKED.items():
+            setattr(self, name, unpacked(row[name], len(getattr(self, other))))
+        self.acc = self.acc if len(self.acc) else np.zeros(len(self.k), np.float32)
         self.number, self.entries = row["bucket"], row["entries"]
         self.word = np.repeat(np.arange(len(self.words)), self.m)
         self.at = np.searchsorted(self.ctx, self.k)  # of a pair's context in ctx
@@ -221,12 +242,13 @@ class Bucket:
         of = lambda name, kind: np.concatenate([np.frombuffer(c[name], kind) for c in chunks])
         words, place = np.unique(of("w", np.uint64), return_inverse=True)
         key, at = np.unique((np.repeat(place, of("m", np.uint32)).astype(np.uint64) << U(32)) | of("k", np.uint32), return_inverse=True)
-        c = np.bincount(at, weights=of("c", np.int64), minlength=len(key)).astype(np.int64)
+        many = np.concatenate([unpacked(c["c"], len(c["k"]) // 4) for c in chunks])
+        c = np.bincount(at, weights=many, minlength=len(key)).astype(np.int64)
         word, k = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.uint32)
         ctx, at = np.unique(k, return_inverse=True)
         known = np.bincount(word, weights=c, minlength=len(words)) > 0
-        some = {"words": words, "m": np.bincount(word, minlength=len(words)), "k": k, "c": c, "t": np.minimum(c, 1), "r": known, "acc": np.zeros(len(k)), "ctx": ctx, "own": np.zeros(len(ctx)), "cust": np.bincount(at, weights=c, minlength=len(ctx))}
-        row = {name: np.asarray(some[name]).astype(kind).tobytes() for name, kind in cls.ARRAYS.items()}
+        some = {"m": np.bincount(word, minlength=len(words)), "c": c, "t": np.minimum(c, 1), "r": known, "own": np.zeros(len(ctx)), "cust": np.bincount(at, weights=c, minlength=len(ctx))}
+        row = {name: packed(x.astype(np.int64)) for name, x in some.items()} | {"words": words.tobytes(), "k": k.tobytes(), "acc": b"", "ctx": ctx.tobytes()}
         return cls(row | {"bucket": number, "entries": sum(x["entries"] for x in chunks)}, heavy)
 
     def row(self) -> dict:
@@ -237,7 +259,11 @@ class Bucket:
         light[self.heavy] = False
         sums = [(-1, self.t.sum(), self.r[light].sum()), (-2, (self.c == 1).sum(), (self.c == 2).sum()), (-3, ((tables == 1) & light).sum(), ((tables == 2) & light).sum()), (-4, ((self.total > 0) & light).sum(), self.c.sum())]
         sums += list(zip(self.heavy_at, self.total[self.heavy], tables[self.heavy]))
-        return {"bucket": self.number, "entries": self.entries, "sums": np.array(sums, np.int64).tobytes(), **{name: getattr(self, name).astype(kind).tobytes() for name, kind in self.ARRAYS.items()}}
+        return {"bucket": self.number, "entries": self.entries, "sums": np.array(sums, np.int64).tobytes(), **self._arrays()}
+
+    def _arrays(self) -> dict:
+        plain = {name: getattr(self, name).astype(kind).tobytes() for name, kind in self.PLAIN.items()}
+        return plain | {name: packed(getattr(self, name)) for name in self.PACKED} | {"acc": self.acc.tobytes() if self.acc.any() else b""}
 
     def by_word(self) -> np.ndarray:
         return np.bincount(self.word, weights=self.t, minlength=len(self.words)).astype(np.int64)
@@ -288,12 +314,13 @@ class Bucket:
         self.r = seated(rng, model["logs0"], d0, customers, lambda i, j: np.log(model["theta0"] + d0 * (left[i] + j)) + np.log(model["base"]))
 
 
-_STATE_SQL = "bucket int, entries long, sums binary, " + ", ".join(f"{x} binary" for x in Bucket.ARRAYS)
+_STATE_SQL = "bucket int, entries long, sums binary, " + ", ".join(f"{x} binary" for x in (*Bucket.PLAIN, *Bucket.PACKED))
 
 
 def _row(row: dict) -> pa.Table:
     kinds = {"bucket": pa.int32(), "entries": pa.int64()}
-    return pa.table({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
+    names = ("bucket", "entries", "sums", *Bucket.PLAIN, *Bucket.PACKED)
+    return pa.table({k: pa.array([row[k]], kinds.get(k, pa.binary())) for k in names})
 
 
 def _ranges(groups: int):
@@ -302,29 +329,34 @@ def _ranges(groups: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ctx, own, cust = (np.frombuffer(row[x], Bucket.ARRAYS[x]) for x in ("ctx", "own", "cust"))
-                group = ((ctx.astype(np.uint64) * U(groups)) >> U(32)).astype(np.int64)
-                first, many = _grouped(group)
+                ctx = np.frombuffer(row["ctx"], np.uint32)
+                own, cust = unpacked(row["own"], len(ctx)), unpacked(row["cust"], len(ctx))
+                first, many = _grouped(((ctx.astype(np.uint64) * U(groups)) >> U(32)).astype(np.int64))
+                group = ((ctx[first].astype(np.uint64) * U(groups)) >> U(32)).astype(np.int32)
                 cut = np.append(first, len(ctx))
-                packed = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(x.tobytes())])  # noqa: B023, E731
-                yield pa.record_batch([pa.array(group[first].astype(np.int32)), pa.array(np.full(len(first), row["bucket"], np.int32)), packed(ctx), packed(own), packed(cust)], names=["group", "bucket", "ctx", "own", "cust"])
+                parts = [pa.array([f(x[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()) for x, f in ((ctx, np.ndarray.tobytes), (own, packed), (cust, packed))]  # noqa: B023
+                yield pa.record_batch([pa.array(group), pa.array(np.full(len(first), row["bucket"], np.int32)), *parts], names=["group", "bucket", "ctx", "own", "cust"])
 
     return run
 
 
 def _added(table: pa.Table) -> pa.Table:
     """The totals of a range of contexts, as each bucket asked for them."""
-    ctx, own, cust = ([np.frombuffer(x.as_py(), Bucket.ARRAYS[name]) for x in table[name]] for name in ("ctx", "own", "cust"))
+    ctx = [np.frombuffer(x.as_py(), np.uint32) for x in table["ctx"]]
     _, at = np.unique(np.concatenate(ctx), return_inverse=True)
     cut = np.cumsum([len(x) for x in ctx])[:-1]
-    total = lambda x: [y.tobytes() for y in np.split(np.bincount(at, weights=np.concatenate(x)).astype(np.int64)[at], cut)]
-    return pa.table([table["bucket"], table["group"], pa.array(total(own), pa.binary()), pa.array(total(cust), pa.binary())], names=["bucket", "group", "own", "cust"])
+
+    def total(name: str) -> pa.Array:
+        each = np.concatenate([unpacked(x.as_py(), len(c)) for x, c in zip(table[name], ctx)])
+        return pa.array([packed(x) for x in np.split(np.bincount(at, weights=each).astype(np.int64)[at], cut)], pa.binary())
+
+    return pa.table([table["bucket"], table["group"], pa.array([len(c) for c in ctx], pa.int32()), total("own"), total("cust")], names=["bucket", "group", "n", "own", "cust"])
 
 
 def _totals(state: DataFrame, groups: int) -> DataFrame:
-    """(bucket, group, own, cust): all buckets' tables and customers of the contexts of each bucket."""
+    """(bucket, group, n, own, cust): all buckets' tables and customers of the contexts of each bucket."""
     some = state.select("bucket", "ctx", "own", "cust").mapInArrow(_ranges(groups), "group int, bucket int, ctx binary, own binary, cust binary")
-    return some.groupBy("group").applyInArrow(lambda t: _added(t), "bucket int, group int, own binary, cust binary")
+    return some.groupBy("group").applyInArrow(lambda t: _added(t), "bucket int, group int, n int, own binary, cust binary")
 
 
 def _summed(state: DataFrame) -> dict[int, tuple[int, int]]:
@@ -339,7 +371,7 @@ def _summed(state: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["key"]: (r["a"], r["b"]) for r in rows.collect()}  # as many as there are heavy words, and four
 
 
-def score(docs: DataFrame, sweeps: int = 6, burn_in: int = 2, seed: int = 1, fold: int = 1, folds: int = 5, strength: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fold: int = 1, folds: int = 5, strength: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Tokens are words without ASCII white space, A to Z lower-cased, then one end. Documents whose crc32(doc_id as text)
@@ -380,6 +412,8 @@ def score(docs: DataFrame, sweeps: int = 6, burn_in: int = 2, seed: int = 1, fol
     fixed = {"d1": share(ones, twos), "d0": share(lone, pairs), "theta0": strength[0], "theta1": strength[1], "base": 1 / (kinds + 1), "heavy_count": heavy_count}
     root = (heavy_count > 0).astype(np.int64)
     logs0 = stirling(fixed["d0"], EXACT)
+    ways = spark.sparkContext.broadcast({"logs0": logs0, "logs1": stirling(fixed["d1"], EXACT)})
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
 
     def model_of(sums: dict, root: np.ndarray) -> dict:
         return fixed | {"heavy_tables": of_heavy(1), "heavy_root": root, "tables": sums[-1][0], "root": sums[-1][1] + int(root.sum())}
@@ -387,15 +421,14 @@ def score(docs: DataFrame, sweeps: int = 6, burn_in: int = 2, seed: int = 1, fol
     def swept(sent, number: int, last: bool):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             model, bucket = sent.value, Bucket(left.to_pylist()[0], known.value)
-            got = sorted(right.select(["group", "own", "cust"]).to_pylist(), key=lambda x: x["group"])
-            tables = np.frombuffer(b"".join(x["own"] for x in got), np.int64)
+            got = sorted(right.to_pylist(), key=lambda x: x["group"])
+            tables = np.concatenate([unpacked(x["own"], x["n"]) for x in got])
             if number == 0:
-                bucket.cust = np.frombuffer(b"".join(x["cust"] for x in got), np.int64)
+                bucket.cust = np.concatenate([unpacked(x["cust"], x["n"]) for x in got])
             if number >= burn_in or last:
                 bucket.acc = bucket.acc + bucket.probability(model, tables).astype(np.float32)
             if not last:
-                logs = {"logs1": stirling(model["d1"], min(EXACT, max(2, int(bucket.c.max(initial=2))))), "logs0": stirling(model["d0"], EXACT)}
-                bucket.sweep(model | logs, tables, (seed, number, bucket.number))
+                bucket.sweep(model | ways.value, tables, (seed, number, bucket.number))
             return _row(bucket.row())
 
         return run
@@ -404,7 +437,7 @@ def score(docs: DataFrame, sweeps: int = 6, burn_in: int = 2, seed: int = 1, fol
     for s in range(sweeps + 1):
         sent = spark.sparkContext.broadcast(model_of(sums, root))
         # the customers of contexts are fixed, and in the state after the first exchange
-        new = staged(state.groupBy("bucket").cogroup(_totals(state, buckets).groupBy("bucket")).applyInArrow(swept(sent, s, s == sweeps), _STATE_SQL))
+        new = staged(state.groupBy("bucket").cogroup(_totals(state, groups).groupBy("bucket")).applyInArrow(swept(sent, s, s == sweeps), _STATE_SQL))
         release(state)
         state = new
         if s < sweeps:
@@ -430,7 +463,7 @@ def score(docs: DataFrame, sweeps: int = 6, burn_in: int = 2, seed: int = 1, fol
             for row in left.to_pylist():
                 place = np.repeat(np.searchsorted(bucket.words, np.frombuffer(row["w"], np.uint64)), np.frombuffer(row["m"], np.uint32))
                 pair = np.searchsorted(key, (place.astype(np.uint64) << U(32)) | np.frombuffer(row["k"], np.uint32))
-                tf = np.frombuffer(row["tf"], np.uint32)
+                tf = unpacked(row["tf"], len(pair))
                 doc, at = np.unique(np.frombuffer(row["d"], np.uint16), return_inverse=True)
                 add = lambda x: np.bincount(at, weights=x * tf, minlength=len(doc))  # noqa: B023, E731
                 values = (doc, add(base[place]), add(logs[pair]).astype(np.float32), add(words[place] > 0).astype(np.uint32))

@@ -262,10 +262,15 @@ def test_seating_is_exact():
     assert 1 <= large[0] <= 10**6 and 1 <= large[1] <= 100 and large[2:].tolist() == [1, 0]
 
 
+def test_packed_numbers():
+    for x in ([], [0, 0], [1, 255, 256, 0], [2**40, 7]):
+        assert hpyp.unpacked(hpyp.packed(np.array(x, np.int64)), len(x)).tolist() == x
+
+
 def _small_bucket(rng, words_=20, contexts=4):
     w, k = np.arange(1, words_ + 1, dtype=np.uint64), np.tile(np.arange(contexts, dtype=np.uint32) << 8, words_)
     c = rng.integers(0, 60, words_ * contexts) * rng.integers(0, 2, words_ * contexts)
-    chunk = {"w": w.tobytes(), "m": np.full(words_, contexts, np.uint32).tobytes(), "k": k.tobytes(), "c": c.astype(np.int64).tobytes(), "entries": 1}
+    chunk = {"w": w.tobytes(), "m": np.full(words_, contexts, np.uint32).tobytes(), "k": k.tobytes(), "c": hpyp.packed(c), "entries": 1}
     return hpyp.Bucket.gathered(0, [chunk], np.zeros(0, np.uint64))
 
 
