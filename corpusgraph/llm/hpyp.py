@@ -27,7 +27,8 @@ from corpusgraph.llm.words import U, blocks, mix
 
 CHUNK_TOKENS = 1 << 19
 CHUNK_DOCS = 1 << 15
-BUCKET_BYTES = 3 << 20  # of text for each bucket
+BUCKET_BYTES = 2 << 20  # of text for each bucket
+SLICES = 2  # of the buckets, scored one after the other so that less is on disk at once
 PART_ENTRIES = 1 << 21  # of a bucket's (document, word, context) entries that one task scores
 EXACT = 256  # customers of a dish up to which the number of its tables is drawn exactly
 _END = U(0x9AE16A3B2F90404F)
@@ -123,18 +124,20 @@ def _counts(buckets: int, heavy: np.ndarray):
             rows = []
             for b, mine in _dealt(_home(words, place, k, buckets, heavy)):
                 first, many = _grouped(place[mine])
-                rows.append((b, words[place[mine][first]].tobytes(), many.astype(np.uint32).tobytes(), k[mine].tobytes(), packed(train[mine]), int(entries[mine].sum())))
+                rows.append((b, words[place[mine][first]].tobytes(), packed(many), k[mine].tobytes(), packed(train[mine]), int(entries[mine].sum())))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4, pa.int64()))], names=["bucket", "w", "m", "k", "c", "entries"])
 
     return run
 
 
+_CELL_SQL = "bucket int, entries long, words binary, m binary, k binary, n binary, p binary"
+
 _ENTRY_SQL = "bucket int, salt int, chunk long, w binary, m binary, k binary, d binary, tf binary, docs binary"
 _ENTRY = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("chunk", pa.int64()), *[(x, pa.binary()) for x in ("w", "m", "k", "d", "tf", "docs")]])
 
 
-def _entries(buckets: int, heavy: np.ndarray, salts: dict[int, int]):
-    """Rows of a chunk's (word, context, document) entries for each bucket; one of them also carries the chunk's documents."""
+def _entries(buckets: int, heavy: np.ndarray, salts: dict[int, int], part_of: int):
+    """Rows of a chunk's (word, context, document) entries for each bucket of a slice; slice 0 also has the chunk's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -151,10 +154,15 @@ def _entries(buckets: int, heavy: np.ndarray, salts: dict[int, int]):
             place, k, d = place[order[first]], k[order[first]], doc[first].astype(np.uint16)
             table = b"".join((np.array([len(count)], np.int64).tobytes(), ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), held.astype(np.uint8).tobytes(), count.astype(np.int64).tobytes()))
             rows = []
-            for b, mine in _dealt(_home(words, place, k, buckets, heavy)):
+            home = _home(words, place, k, buckets, heavy)
+            own = np.flatnonzero(home % SLICES == part_of)
+            if part_of == 0:  # to some bucket, with or without entries
+                rows.append((chunk // SLICES * SLICES % (buckets - buckets % SLICES), 0, chunk, b"", b"", b"", b"", b"", table))
+            for b, mine in ((b, own[x]) for b, x in _dealt(home[own])):
                 first, many = _grouped(place[mine])
-                rows.append((b, chunk % salts.get(b, 1), chunk, words[place[mine][first]].tobytes(), many.astype(np.uint32).tobytes(), k[mine].tobytes(), d[mine].tobytes(), packed(tf[mine]), None if rows else table))
-            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
+                rows.append((b, chunk % salts.get(b, 1), chunk, words[place[mine][first]].tobytes(), packed(many), k[mine].tobytes(), d[mine].tobytes(), packed(tf[mine]), None))
+            if rows:
+                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
 
     return run
 
@@ -241,7 +249,7 @@ class Bucket:
         """From the rows of _counts(); each word that training has begins with a table in each of its contexts, and one in the unigram restaurant."""
         of = lambda name, kind: np.concatenate([np.frombuffer(c[name], kind) for c in chunks])
         words, place = np.unique(of("w", np.uint64), return_inverse=True)
-        key, at = np.unique((np.repeat(place, of("m", np.uint32)).astype(np.uint64) << U(32)) | of("k", np.uint32), return_inverse=True)
+        key, at = np.unique((np.repeat(place, np.concatenate([unpacked(c["m"], len(c["w"]) // 8) for c in chunks])).astype(np.uint64) << U(32)) | of("k", np.uint32), return_inverse=True)
         many = np.concatenate([unpacked(c["c"], len(c["k"]) // 4) for c in chunks])
         c = np.bincount(at, weights=many, minlength=len(key)).astype(np.int64)
         word, k = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.uint32)
@@ -371,6 +379,12 @@ def _summed(state: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["key"]: (r["a"], r["b"]) for r in rows.collect()}  # as many as there are heavy words, and four
 
 
+def _cells(bucket: Bucket, model: dict, averaged: int) -> pa.Table:
+    """What scoring needs of a bucket: training tokens of its words, and averaged probabilities of its pairs."""
+    row = {"words": bucket.words.tobytes(), "m": packed(bucket.m), "k": bucket.k.tobytes(), "n": packed(bucket.word_counts(model)), "p": (bucket.acc / averaged).tobytes()}
+    return pa.table({"bucket": pa.array([bucket.number], pa.int32()), "entries": pa.array([bucket.entries]), **{x: pa.array([v], pa.binary()) for x, v in row.items()}})
+
+
 def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fold: int = 1, folds: int = 5, strength: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
@@ -385,7 +399,7 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False)).alias("held_out"))
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = max(SLICES, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     # which words are spread over buckets only changes where work is done: a sample of fixed size finds them
     part = docs.sample(min(1.0, (64 << 20) / size), seed) if size else docs
     common = part.mapInArrow(_common(buckets), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
@@ -418,6 +432,8 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
     def model_of(sums: dict, root: np.ndarray) -> dict:
         return fixed | {"heavy_tables": of_heavy(1), "heavy_root": root, "tables": sums[-1][0], "root": sums[-1][1] + int(root.sum())}
 
+    averaged = max(1, sweeps + 1 - burn_in)
+
     def swept(sent, number: int, last: bool):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             model, bucket = sent.value, Bucket(left.to_pylist()[0], known.value)
@@ -427,8 +443,9 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
                 bucket.cust = np.concatenate([unpacked(x["cust"], x["n"]) for x in got])
             if number >= burn_in or last:
                 bucket.acc = bucket.acc + bucket.probability(model, tables).astype(np.float32)
-            if not last:
-                bucket.sweep(model | ways.value, tables, (seed, number, bucket.number))
+            if last:
+                return _cells(bucket, model, averaged)
+            bucket.sweep(model | ways.value, tables, (seed, number, bucket.number))
             return _row(bucket.row())
 
         return run
@@ -437,7 +454,7 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
     for s in range(sweeps + 1):
         sent = spark.sparkContext.broadcast(model_of(sums, root))
         # the customers of contexts are fixed, and in the state after the first exchange
-        new = staged(state.groupBy("bucket").cogroup(_totals(state, groups).groupBy("bucket")).applyInArrow(swept(sent, s, s == sweeps), _STATE_SQL))
+        new = staged(state.groupBy("bucket").cogroup(_totals(state, groups).groupBy("bucket")).applyInArrow(swept(sent, s, s == sweeps), _CELL_SQL if s == sweeps else _STATE_SQL))
         release(state)
         state = new
         if s < sweeps:
@@ -445,29 +462,34 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
             spread = sum(x[1] for k, x in sums.items() if k == -1) + int(root.sum()) - root
             d0, theta0, base = fixed["d0"], fixed["theta0"], fixed["base"]
             root = seated(np.random.default_rng((seed, s)), logs0, d0, of_heavy(1), lambda i, j: np.log(theta0 + d0 * (spread[i] + j)) + np.log(base))
-    averaged = max(1, sweeps + 1 - burn_in) if sweeps >= burn_in else 1
     salts = {r["bucket"]: r["n"] for r in state.select("bucket", (1 + F.floor(F.col("entries") / PART_ENTRIES)).alias("n")).where("n > 1").collect()}  # buckets with a hot pair
-    words_of = spark.sparkContext.broadcast(heavy_count)
 
-    def deal(batches):
-        yield from _entries(buckets, known.value, salts)(batches)
+    def dealing(part_of: int):
+        def run(batches):
+            yield from _entries(buckets, known.value, salts, part_of)(batches)
+
+        return run
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        if left.num_rows:
-            bucket = Bucket(right.to_pylist()[0], known.value)
-            logs = np.log10(bucket.acc.astype(np.float64) / averaged)
-            words = bucket.word_counts({"heavy_count": words_of.value})
-            base = np.log10((words + 0.5) / (n_train + 0.5 * (kinds + 1)))
-            key = (bucket.word.astype(np.uint64) << U(32)) | bucket.k
-            for row in left.to_pylist():
-                place = np.repeat(np.searchsorted(bucket.words, np.frombuffer(row["w"], np.uint64)), np.frombuffer(row["m"], np.uint32))
-                pair = np.searchsorted(key, (place.astype(np.uint64) << U(32)) | np.frombuffer(row["k"], np.uint32))
-                tf = unpacked(row["tf"], len(pair))
-                doc, at = np.unique(np.frombuffer(row["d"], np.uint16), return_inverse=True)
-                add = lambda x: np.bincount(at, weights=x * tf, minlength=len(doc))  # noqa: B023, E731
-                values = (doc, add(base[place]), add(logs[pair]).astype(np.float32), add(words[place] > 0).astype(np.uint32))
-                out.append((row["chunk"], *(v.tobytes() for v in values), row["docs"]))
+        if left.num_rows and right.num_rows:
+            cell = right.to_pylist()[0]
+            words, k = np.frombuffer(cell["words"], np.uint64), np.frombuffer(cell["k"], np.uint32)
+            logs = np.log10(np.frombuffer(cell["p"], np.float32).astype(np.float64))
+            n = unpacked(cell["n"], len(words))
+            base = np.log10((n + 0.5) / (n_train + 0.5 * (kinds + 1)))
+            key = (np.repeat(np.arange(len(words), dtype=np.uint64), unpacked(cell["m"], len(words))) << U(32)) | k
+        for row in left.to_pylist():
+            if not row["w"]:
+                out.append((row["chunk"], b"", b"", b"", b"", row["docs"]))
+                continue
+            own = np.frombuffer(row["w"], np.uint64)
+            place = np.repeat(np.searchsorted(words, own), unpacked(row["m"], len(own)))
+            pair = np.searchsorted(key, (place.astype(np.uint64) << U(32)) | np.frombuffer(row["k"], np.uint32))
+            tf = unpacked(row["tf"], len(pair))
+            doc, at = np.unique(np.frombuffer(row["d"], np.uint16), return_inverse=True)
+            add = lambda x: np.bincount(at, weights=x * tf, minlength=len(doc))  # noqa: B023, E731
+            out.append((row["chunk"], doc.tobytes(), add(base[place]).tobytes(), add(logs[pair]).astype(np.float32).tobytes(), packed(add(n[place] > 0)), row["docs"]))
         names = ("chunk", "d", "base", "score", "known", "docs")
         return pa.table({n: pa.array([x[i] for x in out], pa.binary() if i else pa.int64()) for i, n in enumerate(names)})
 
@@ -482,10 +504,16 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
             d = np.frombuffer(r["d"], np.uint16)
             base[d] += np.frombuffer(r["base"])
             value[d] += np.frombuffer(r["score"], np.float32)
-            seen[d] += np.frombuffer(r["known"], np.uint32)
+            seen[d] += unpacked(r["known"], len(d))
         columns = [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(many), pa.array(seen.astype(np.int64)), pa.array(np.full(n, n_train, np.int64)), pa.array(base), pa.array(value)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     cells = state.withColumn("salt", F.explode(F.expr(f"sequence(0, cast(floor(entries / {PART_ENTRIES}) as int))")))
-    parts = docs.mapInArrow(deal, _ENTRY_SQL).groupBy("bucket", "salt").cogroup(cells.groupBy("bucket", "salt")).applyInArrow(scored, "chunk long, d binary, base binary, score binary, known binary, docs binary")
+    parts = None
+    for i in range(SLICES):
+        own = cells.where(F.col("bucket") % SLICES == i)
+        got = docs.mapInArrow(dealing(i), _ENTRY_SQL).groupBy("bucket", "salt").cogroup(own.groupBy("bucket", "salt")).applyInArrow(scored, "chunk long, d binary, base binary, score binary, known binary, docs binary")
+        got = staged(got)
+        parts = got if parts is None else parts.unionAll(got)
+    release(state)
     return parts.groupBy("chunk").applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
