@@ -270,7 +270,7 @@ def test_packed_numbers():
 def _small_bucket(rng, words_=20, contexts=4):
     w, k = np.arange(1, words_ + 1, dtype=np.uint64), np.tile(np.arange(contexts, dtype=np.uint32) << 8, words_)
     c = rng.integers(0, 60, words_ * contexts) * rng.integers(0, 2, words_ * contexts)
-    chunk = {"w": w.tobytes(), "m": np.full(words_, contexts, np.uint32).tobytes(), "k": k.tobytes(), "c": hpyp.packed(c), "entries": 1}
+    chunk = {"w": w.tobytes(), "m": hpyp.packed(np.full(words_, contexts)), "k": k.tobytes(), "c": hpyp.packed(c), "entries": 1}
     return hpyp.Bucket.gathered(0, [chunk], np.zeros(0, np.uint64))
 
 
@@ -483,26 +483,51 @@ def test_sites(spark):
     assert [tuple(r) for r in rows] == [("a.example.com", "fr"), ("", "")]
 
 
-def test_search_recall_and_odd_vectors(spark):
+def recall_of(got, rows, k=20):
+    """Recall of what a search found, by brute force; scores and ranks must be exact."""
+    ids, w = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    lists = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        lists[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(lists) == {int(i) for i in ids if i % 20 == 0}
+    hit = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = (w * w[at]).sum(axis=1)
+        score[at] = -np.inf
+        best = np.lexsort((ids, -score))[: min(k, len(ids) - 1)]
+        found = lists[int(ids[at])]
+        exact = dict(zip(ids.tolist(), score))
+        assert all(x == pytest.approx(exact[i], rel=1e-12, abs=1e-12) for i, x in found)
+        assert found == sorted(found, key=lambda x: (-x[1], x[0])) and len(found) == len(best)
+        hit += len({i for i, _ in found} & set(ids[best].tolist()))
+    return hit / (min(k, len(ids) - 1) * len(lists))
+
+
+@pytest.mark.parametrize("sigma,sample,block", [(0, 4096, 500), (0, 1024, 500), (0, 512, 64), (0.5, 1024, 500), (1, 1024, 500)])
+def test_search_recall_and_odd_vectors(spark, sigma, sample, block):
     rng = np.random.default_rng(2)
-    v = rng.normal(size=(3000, 16)).astype(np.float32)
+    v = rng.normal(size=(3000, 16))
+    v *= np.exp(sigma * rng.normal(size=(3000, 1))) / np.linalg.norm(v, axis=1, keepdims=True)
     v[5:9] = v[4]
-    rows = [(i, [float(x) for x in v[i]]) for i in range(len(v))] + [(4000, None), (4020, [0.0] * 16), (4040, [float("nan")] * 16), (4060, [None] * 16), (4080, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for sample, block, least in ((4096, 500, 1.0), (1024, 500, 0.9), (256, 16, 0.85)):
-        got = collections.defaultdict(list)
-        for r in permindex.search(df, sample_rows=sample, block_rows=block).orderBy("query_id", "rank").collect():
-            got[r["query_id"]].append((r["vec_id"], r["score"]))
-        assert set(got) == set(range(0, 3000, 20))
-        w = v.astype(float)
-        hit = 0
-        for q, found in got.items():
-            s = (w * w[q]).sum(axis=1)
-            s[q] = -np.inf
-            hit += len({i for i, _ in found} & set(np.lexsort((np.arange(3000), -s))[:20]))
-            assert all(x == pytest.approx(s[i], abs=1e-12) for i, x in found)
-        assert hit >= least * 20 * len(got)
-    assert permindex.search(df.limit(0)).count() == 0
+    rows = [(i, [float(x) for x in v[i].astype(np.float32)]) for i in range(len(v))]
+    odd = [(4000, None), (4020, [0.0] * 16), (4040, [float("nan")] * 16), (4060, [None] * 16), (4080, []), (None, rows[0][1])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    assert recall_of(permindex.search(df, sample_rows=sample, block_rows=block).collect(), rows) >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_search_recall_of_the_tables(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r["vec_id"], r["embedding"]) for r in permindex._usable(df, "embedding").collect()]
+    assert recall_of(permindex.search(df).collect(), rows) >= 0.9
+
+
+def test_search_of_few_and_repeated_rows(spark):
+    schema = "vec_id long, embedding array<float>, rank int"
+    df = spark.createDataFrame([(20, [1.0, 0.0], 1), (20, [0.0, 1.0], 1), (3, [1.0, 1.0], 1), (2, [2.0, 0.5], 1)], schema)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in permindex.search(df).collect())
+    assert got == [(20, 1, 2, 0.5 * 4), (20, 1, 3, 1.0), (20, 2, 2, 0.5), (20, 2, 3, 1.0), (20, 3, 20, 0.0), (20, 3, 20, 0.0)]
+    assert permindex.search(df.limit(0)).count() == 0 and permindex.search(df.where("vec_id = 3")).count() == 0
 
 
 def test_pipeline_keeps_clean_documents(spark):
