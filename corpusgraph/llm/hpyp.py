@@ -16,6 +16,7 @@ the end the texts' tokens are dealt to the buckets, scored there and added up by
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from corpusgraph.llm.words import U, blocks, mix
 CHUNK_TOKENS = 1 << 19
 CHUNK_DOCS = 1 << 15
 BUCKET_BYTES = 2 << 20  # of text for each bucket
-SLICES = 2  # of the buckets, scored one after the other so that less is on disk at once
+SLICES = 2  # of the buckets, swept and scored one after the other so that less is on disk at once
 PART_ENTRIES = 1 << 21  # of a bucket's (document, word, context) entries that one task scores
 EXACT = 256  # customers of a dish up to which the number of its tables is drawn exactly
 _END = U(0x9AE16A3B2F90404F)
@@ -450,13 +451,17 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
 
         return run
 
+    tables = [state]
     # the totals of the tables after s sweeps are those of exchange s, so the averaged probabilities of each sweep add up
     for s in range(sweeps + 1):
         sent = spark.sparkContext.broadcast(model_of(sums, root))
-        # the customers of contexts are fixed, and in the state after the first exchange
-        new = staged(state.groupBy("bucket").cogroup(_totals(state, groups).groupBy("bucket")).applyInArrow(swept(sent, s, s == sweeps), _CELL_SQL if s == sweeps else _STATE_SQL))
-        release(state)
-        state = new
+        totals, schema = staged(_totals(state, groups)), _CELL_SQL if s == sweeps else _STATE_SQL
+        new = []
+        for i in range(SLICES):
+            mine = [t.where(F.col("bucket") % SLICES == i).groupBy("bucket") for t in (state, totals)]
+            new.append(staged(mine[0].cogroup(mine[1]).applyInArrow(swept(sent, s, s == sweeps), schema)))
+        release(totals, *tables)
+        tables, state = new, reduce(DataFrame.unionAll, new)
         if s < sweeps:
             sums = _summed(state)
             spread = sum(x[1] for k, x in sums.items() if k == -1) + int(root.sum()) - root
@@ -515,5 +520,5 @@ def score(docs: DataFrame, sweeps: int = 3, burn_in: int = 1, seed: int = 1, fol
         got = docs.mapInArrow(dealing(i), _ENTRY_SQL).groupBy("bucket", "salt").cogroup(own.groupBy("bucket", "salt")).applyInArrow(scored, "chunk long, d binary, base binary, score binary, known binary, docs binary")
         got = staged(got)
         parts = got if parts is None else parts.unionAll(got)
-    release(state)
+    release(*tables)
     return parts.groupBy("chunk").applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
