@@ -15,6 +15,8 @@ def reply(text):
 def test_json_object():
     assert json_object('so ```json\n{"a": {"b": 1}}\n``` end') == {"a": {"b": 1}}
     assert json_object('x {"a": 1} y {') == {"a": 1}
+    assert json_object('{"a": [1, 2, ], "b": "x,}", }') == {"a": [1, 2], "b": "x,}"}
+    assert json_object('see {this}: {"a": {"b": [1, {"c": "open') == {"a": {"b": [1, {"c": "open"}]}}
     for bad in ("none", "{broken"):
         with pytest.raises(ValueError):
             json_object(bad)
