@@ -44,7 +44,7 @@ def status(t: dict[str, DataFrame]) -> dict:
     return {
         "counts": pairs(report.counts({k: t[k] for k in TABLES})),
         "entity_types": {r["observed_entity_type"]: {k: v for k, v in r.asDict().items() if k != "observed_entity_type"} for r in report.entity_type_stats(t["evidence"]).orderBy("observed_entity_type").collect()},
-        "multi_typed_entities": report.multi_typed(t["evidence"]).count(),
+        "multi_typed_entities": report.multi_typed(t["evidence"]).first()["multi_typed"],
         "relations": pairs(report.count_by(t["claims"], "relation")),
         "progress": pairs(report.count_by(report.latest_progress(t["progress"]), "status")),
         "observations": report.observation_report(t["claim_observations"], t["judgments"]).first().asDict(),

@@ -60,6 +60,22 @@ def with_ids(rows: DataFrame, start: int, *order: str) -> DataFrame:
     return dealt.withColumn("rn", inside).join(F.broadcast(part), "cg_part").withColumn("id", F.col("before") + F.col("rn") + start).drop("cg_part", "rn", "before")
 
 
+def moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder to a name that nothing has yet; False, and no change, if something has it."""
+    from py4j.protocol import Py4JJavaError
+
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    start, end = hadoop.Path(source), hadoop.Path(target)
+    files = hadoop.FileContext.getFileContext(start.getFileSystem(conf).getUri(), conf)
+    try:
+        files.rename(start, end, spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName() or "is not empty" in str(e.java_exception.getMessage()):
+            return False
+        raise
+    return True
+
+
 class Snapshots:
     """Tables as Parquet folders, one a version; a commit is the small file that names each table's version."""
 
@@ -87,15 +103,16 @@ class Snapshots:
 
     def commit(self, **tables: DataFrame) -> int:
         """Writes the tables' new versions, then the commit that names them; before that readers see the old ones."""
+        n = self._head() + 1  # of what this commit knows; a commit made meanwhile takes the number
         known = self.versions()
         for name, df in tables.items():
             folder = f"{name}/{uuid.uuid4().hex}"
             df.write.parquet(f"{self.path}/{folder}")
             known[name] = folder
-        n = self._head() + 1
         temporary = f"{self.path}/_new-{uuid.uuid4().hex}"
         self.spark.createDataFrame(sorted(known.items()), "name string, folder string").coalesce(1).write.json(temporary)
         self._fs.mkdirs(self._path(f"{self.path}/_commits"))
-        if not self._fs.rename(self._path(temporary), self._path(f"{self.path}/_commits/{n}")):
+        if not moved(self.spark, temporary, f"{self.path}/_commits/{n}"):
+            self._fs.delete(self._path(temporary), True)
             raise RuntimeError("another writer made this commit")
         return n

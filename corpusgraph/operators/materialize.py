@@ -10,12 +10,13 @@ from corpusgraph.operators.keyed import first_by_key
 from corpusgraph.operators.report import expected_verdict, judged
 
 
-def outcomes(observations: DataFrame, judgments: DataFrame, claims: DataFrame) -> DataFrame:
+def outcomes(observations: DataFrame, judgments: DataFrame, claims: DataFrame, validator: tuple[str, str] | None = None) -> DataFrame:
     """(id, outcome) of each observation before edges are admitted; the first state that holds.
 
-    admissible is a supported claim that is new or known, append an opposing one of a known claim.
+    admissible is a supported claim that is new or known, append an opposing one of a known claim. The judgment is that of
+    validator (model, prompt version) if there is one, else the latest.
     """
-    rows = judged(observations, judgments)
+    rows = judged(observations, judgments, validator)
     known = claims.select(F.col("id").alias("claim_id"), F.lit(True).alias("linked"))
     same = claims.select(F.col("subject_id").alias("subject_entity_id"), "relation", F.col("object_id").alias("object_entity_id"), F.lit(True).alias("there")).distinct()
     rows = rows.join(known, "claim_id", "left").join(same, ["subject_entity_id", "relation", "object_entity_id"], "left")
@@ -31,14 +32,15 @@ def outcomes(observations: DataFrame, judgments: DataFrame, claims: DataFrame) -
     return rows.withColumn("outcome", state)
 
 
-def materialize(observations: DataFrame, judgments: DataFrame, claims: DataFrame, acyclic: tuple[str, ...] = ("is_a", "prerequisite_of")) -> DataFrame:
+def materialize(observations: DataFrame, judgments: DataFrame, claims: DataFrame, acyclic: tuple[str, ...] = ("is_a", "prerequisite_of"), validator: tuple[str, str] | None = None) -> DataFrame:
     """(id, outcome) after admission in id order: a new edge that is a loop, or closes a cycle of an acyclic relation, is blocked."""
-    rows = outcomes(observations, judgments, claims)
+    rows = outcomes(observations, judgments, claims, validator)
     new = rows.where("outcome = 'admissible' and there is null").select("id", F.col("subject_entity_id").alias("s"), "relation", F.col("object_entity_id").alias("o"))
     # the first observation of an edge decides; later ones of the same edge share its fate
     first = first_by_key(new, ["s", "relation", "o"])
     refused = first.where("s = o").select("s", "relation", "o")
-    for r in acyclic:
+    fresh = {x["relation"] for x in first.where(F.col("relation").isin(*acyclic)).select("relation").distinct().collect()} if acyclic else set()
+    for r in (r for r in acyclic if r in fresh):
         old = claims.where(F.col("relation") == r).select(F.col("subject_id").alias("s"), F.col("object_id").alias("o"))
         got = graph.admitted(old, first.where(F.col("relation") == r).select("id", "s", "o"))
         refused = refused.unionAll(got.where("not admitted").select("s", F.lit(r).alias("relation"), "o"))

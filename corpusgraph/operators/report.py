@@ -60,8 +60,15 @@ def expected_verdict() -> Column:
     return F.when(F.col("polarity") == "support", "supports").otherwise("contradicts")
 
 
-def judged(observations: DataFrame, judgments: DataFrame) -> DataFrame:
-    """observations with the verdict of their latest judgment, null if there is none."""
+def judged(observations: DataFrame, judgments: DataFrame, validator: tuple[str, str] | None = None) -> DataFrame:
+    """observations with the verdict of their latest judgment, null if there is none.
+
+    Given a validator's (model, prompt version), its judgment counts before later ones of others.
+    """
+    if validator:
+        own = judgments.where((F.col("validator_model") == validator[0]) & (F.col("validator_prompt_version") == validator[1]))
+        other = judgments.join(own.select("observation_id").distinct(), "observation_id", "left_anti").select(*judgments.columns)
+        judgments = own.unionByName(other)
     last = latest_judgment(judgments).select(F.col("observation_id").alias("id"), "verdict")
     return observations.join(last, "id", "left")
 

@@ -150,8 +150,9 @@ def definitions_asked(entities: DataFrame, observations: DataFrame, least: int =
 
 
 def defined(entities: DataFrame, reviews: DataFrame) -> DataFrame:
-    """entities with the definitions of valid reviews, one a key; others keep theirs."""
-    told = reviews.where("result is not null").groupBy("key").agg(F.max_by("result", "fingerprint").alias("result"))
+    """entities with the definitions of valid reviews, the newest of a key if reviews have an id; others keep theirs."""
+    newest = F.struct(*[c for c in ("id", "fingerprint") if c in reviews.columns])
+    told = reviews.where("result is not null").groupBy("key").agg(F.max_by("result", newest).alias("result"))
     told = told.select(F.col("key").cast("long").alias("id"), F.get_json_object("result", "$.definition").alias("told"))
     return entities.join(told, "id", "left").withColumn("definition", F.coalesce("told", "definition")).select(*entities.columns)
 

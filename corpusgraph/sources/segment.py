@@ -59,8 +59,8 @@ def heading_level(text: Column) -> Column:
 def _pieces(text: str, start: int, end: int, most: int) -> Iterator[tuple[int, int]]:
     while end - start > most:
         low, high = start + most // 2, start + most
-        cut = max(text.rfind(c, low, high + len(c) - 1) for c in CUTS)
-        cut = cut + 1 if low <= cut < high else high
+        cut = max(text.rfind(c, low, high) for c in CUTS)
+        cut = cut + 1 if cut >= low else high
         yield start, cut
         start = cut
     yield start, end
