@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusgraph.fixtures import Store, duckdb_sql
+from corpusgraph.functions import keys
 from corpusgraph.functions.html import page_text
 from corpusgraph.functions.names import ascii_normalize, ascii_reference
-from corpusgraph.operators import graph, integrity, keyed, materialize, report, resolve
+from corpusgraph.operators import graph, integrity, keyed, materialize, report, resolve, write
 from corpusgraph.sources import ingest, segment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -477,3 +478,48 @@ def promotion_fingerprints(s):
     rows = report.unresolved_sides(s("kg_claim_observation"))
     sets = rows.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("source_id", "passage_ids"))).alias("u"), F.array_sort(F.collect_set("id")).alias("i"))
     return sets.select("key", F.sha2(F.to_json(F.struct("u", "i")), 256).alias("fingerprint"))
+
+
+@query("SELECT id, sha256(source_text || chr(0) || subject_name || chr(0) || passage_ids) AS excerpt_hash, CASE WHEN claim_id IS NULL THEN 'entity:' || id ELSE 'claim:' || claim_id END AS target_key FROM kg_claim_observation")
+def evidence_keys(s):
+    """The key of each observation's excerpt, its target the claim that it became or else an entity of its id."""
+    o = s("kg_claim_observation")
+    ids = F.from_json("passage_ids", "array<string>")
+    entity = F.when(F.col("claim_id").isNull(), F.col("id"))
+    return o.select("id", keys.excerpt_hash(F.col("source_text"), F.col("subject_name"), ids).alias("excerpt_hash"), keys.target_key(entity, F.col("claim_id")).alias("target_key"))
+
+
+_KEYED = "'[' || source_id || ',' || chunk_index || ',\"' || "
+
+
+@query(f"""SELECT id, sha256({_KEYED} subject_reference_key || '","' || relation || '","' || object_reference_key || '","' || polarity || '","' || source_text || '","",' || passage_ids || ',"m","v1"]') AS observation_key FROM kg_claim_observation""")
+def claim_observation_keys(s):
+    c = F.col
+    key = keys.claim_observation_key(c("source_id"), c("chunk_index"), c("subject_name"), c("relation"), c("object_name"), c("polarity"), c("source_text"), F.lit(""), F.from_json("passage_ids", "array<string>"), "m", "v1")
+    return s("kg_claim_observation").select("id", key.alias("observation_key"))
+
+
+@query(f"""SELECT id, sha256({_KEYED} lower(replace(canonical_name, ' ', '')) || '","' || definition || '","concept",["' || definition || '","b"],"' || canonical_name || '","q",["P1","P2"],"m","v1"]') AS observation_key FROM (SELECT *, id % 20 AS source_id, id % 7 AS chunk_index FROM kg_entity)""")
+def entity_observation_keys(s):
+    c = F.col
+    key = keys.entity_observation_key(c("id") % 20, c("id") % 7, c("canonical_name"), c("definition"), F.lit("concept"), F.array("definition", F.lit("b")), c("canonical_name"), F.lit("q"), F.array(F.lit("P1"), F.lit("P2")), "m", "v1")
+    return s("kg_entity").select("id", key.alias("observation_key"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY target_key, source_id, excerpt_hash, polarity ORDER BY id) AS rn FROM kg_evidence_raw),
+ t AS (SELECT * FROM r WHERE rn = 1 AND source_id % 2 = 0), f AS (SELECT * FROM r WHERE rn = 1 AND source_id % 2 <> 0)
+ SELECT id, target_key, source_id, excerpt_hash, polarity FROM t UNION ALL SELECT (SELECT max(id) FROM t) + row_number() OVER (ORDER BY id), target_key, source_id, excerpt_hash, polarity FROM f""")
+def evidence_added(s):
+    """All evidence written into a table that has that of the even sources: those rows stay, the others come after them."""
+    rows = s("kg_evidence_raw").select("id", *write.EVIDENCE_KEY)
+    return write.added(keyed.first_by_key(rows.where("source_id % 2 = 0"), write.EVIDENCE_KEY), rows.withColumn("seen", F.col("id")), write.EVIDENCE_KEY, "seen").select("id", "target_key", "source_id", "excerpt_hash", "polarity")
+
+
+_CLAIM_ENDS = "SELECT o_custkey % 50 AS subject_id, CASE WHEN o_orderstatus='F' THEN 'part_of' ELSE 'related_to' END AS relation, 60 + o_custkey % 40 AS object_id FROM orders"
+
+
+@query(f"""WITH fresh AS (SELECT DISTINCT * FROM ({_CLAIM_ENDS}) x EXCEPT SELECT subject_id, relation, object_id FROM kg_claim)
+ SELECT id, subject_id, relation, object_id FROM kg_claim UNION ALL SELECT (SELECT max(id) FROM kg_claim) + row_number() OVER (ORDER BY subject_id, relation, object_id), subject_id, relation, object_id FROM fresh""")
+def claims_added(s):
+    rows = s.table("orders").selectExpr("o_custkey % 50 as subject_id", "case when o_orderstatus='F' then 'part_of' else 'related_to' end as relation", "60 + o_custkey % 40 as object_id")
+    return write.claims(s("kg_claim"), rows)

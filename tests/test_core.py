@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -5,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.names import compact, normalize_name, reference_key
-from corpusgraph.operators import graph, keyed, resolve
+from corpusgraph.functions import keys
+from corpusgraph.operators import graph, keyed, report, resolve, write
 from corpusgraph.sources import ingest, segment
 
 
@@ -100,6 +102,47 @@ def test_snapshots(spark, tmp_path):
     assert (store.read("a").count(), store.read("b").count()) == (3, 2)
 
 
+def test_two_writers_of_one_commit(spark, tmp_path):
+    store = keyed.Snapshots(spark, str(tmp_path))
+    store.commit(a=spark.range(1))
+    late = keyed.Snapshots(spark, str(tmp_path))
+    late._head = lambda: 1 if late.first else 2
+    late.first = True
+    store.commit(a=spark.range(2))
+    with pytest.raises(RuntimeError):
+        late.commit(a=spark.range(3))
+    assert store.read("a").count() == 2
+
+
+def test_observations_are_written_once(spark):
+    names = "id long, observation_key string, source_id long, chunk_index long, subject_name string, relation string, object_name string, polarity string, source_text string, model_quote string, passage_ids array<string>"
+    rows = spark.createDataFrame([(None, None, 1, 0, "A b", "is_a", "C", "support", 'say "x"\n', "", ["P1", "P2"]), (None, None, 1, 0, "a B", "is_a", "c", "support", 'say "x"\n', "", ["P1", "P2"]), (None, None, 1, 1, "A", "is_a", "C", "support", "t", "", [])], names)
+    table = write.claim_observations(spark.createDataFrame([], names), rows, "m", "v1")
+    assert sorted(r["id"] for r in table.collect()) == [1, 2]
+    again = write.claim_observations(keyed.cut(table), rows, "m", "v1")
+    assert again.count() == 2 and write.claim_observations(keyed.cut(table), rows, "m", "v2").count() == 4
+    payload = [1, 0, "ab", "is_a", "c", "support", 'say "x"\n', "", ["P1", "P2"], "m", "v1"]
+    want = hashlib.sha256(json.dumps(payload, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    assert want in {r["observation_key"] for r in table.collect()}
+    one = spark.createDataFrame([("t\u00e9", "q", ["a", "b"], 1, None), ("", None, None, None, 2)], "s string, q string, p array<string>, e long, c long")
+    got = one.select(keys.excerpt_hash(F.col("s"), F.col("q"), F.col("p")), keys.target_key(F.col("e"), F.col("c"))).collect()
+    assert got[0][0] == hashlib.sha256("\0".join(("t\u00e9", "q", json.dumps(["a", "b"]))).encode()).hexdigest()
+    assert got[1][0] == hashlib.sha256(b"\0\0[]").hexdigest() and [r[1] for r in got] == ["entity:1", "claim:2"]
+    assert keys.processing_hash("h", model="a", most=5) != keys.processing_hash("h", model="a", most=6)
+
+
+def test_own_judgment_comes_first(spark):
+    judgments = spark.createDataFrame([(1, 7, "a", "v1", "supports"), (2, 7, "b", "v1", "contradicts"), (3, 8, "b", "v1", "supports")], "id long, observation_id long, validator_model string, validator_prompt_version string, verdict string")
+    seen = spark.createDataFrame([(7,), (8,), (9,)], "id long")
+    told = lambda *v: {r["id"]: r["verdict"] for r in report.judged(seen, judgments, *v).collect()}
+    assert told() == {7: "contradicts", 8: "supports", 9: None} and told(("a", "v1")) == {7: "supports", 8: "supports", 9: None}
+
+
+def test_long_passages_are_cut_before_the_end():
+    text = "a" * 150 + "\n" + "b" * 48 + ". " + "c" * 100
+    assert segment.passages(text, 200)[0]["end"] == 151 or segment.passages(text, 200)[0]["text"] == "a" * 150
+
+
 def test_endpoints_need_one_entity(spark):
     obs = spark.createDataFrame([(1, 1, 0, "x", None, "y", None), (2, 1, 0, "z", 9, "x", None)], "id long, source_id long, chunk_index int, subject_reference_key string, subject_entity_id long, object_reference_key string, object_entity_id long")
     names = spark.createDataFrame([("x", 5), ("y", 6), ("y", 7)], "key string, entity_id long")
