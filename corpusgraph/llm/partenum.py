@@ -59,8 +59,12 @@ def bands(n: int, percent: int) -> tuple[tuple[int, int, int], ...]:
 
 
 def sketch_class(top: int) -> int:
-    """log2 of the 64-bit words of the parity sketches in which sets of at most top elements are compared."""
-    return max(2, (top - 1).bit_length() - 6)
+    """log2 of the 64-bit words of the parity sketches in which sets of at most top elements are compared.
+
+    About a bit for each element tells most sets apart. Short sets have few signatures, and near the threshold differ in few
+    elements, no two of which should meet in a cell: they get more.
+    """
+    return 5 if top <= 128 else max(3, (top - 1).bit_length() - 6)
 
 
 def signatures(items: np.ndarray, percent: int) -> np.ndarray:
@@ -287,7 +291,7 @@ def _possible(percent: int):
     """What sizes and parity sketches pa, pb of one class allow: sketches differ in no more bits than the sets in elements."""
     apart = lambda i: F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i))))
     bits = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
-    for words in (16, 8, 4):  # in generated code, not in a lambda
+    for words in (32, 16, 8):  # in generated code, not in a lambda
         bits = F.when(F.size("pa") == words, sum((apart(i) for i in range(1, words)), apart(0))).otherwise(bits)
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     return sizes & ((F.size("pa") != F.size("pb")) | ((100 + percent) * bits <= (100 - percent) * (F.col("na") + F.col("nb"))))
@@ -301,7 +305,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, links
     document's set. Documents with equal sets share one node. Each signature's sets are first compared with the set that
     shares most signatures; after that, only sets of one signature that aren't connected yet are compared with each other,
     so every link between components is found without all pairs of a group; groups of more than HOT sets are spread over
-    tasks. Before sets are compared, their sizes and parity sketches, of a bit or two for each element (256 at least), must allow the
+    tasks. Before sets are compared, their sizes and parity sketches, of a bit or more for each element, must allow the
     similarity. Links are then counted among all sets of each component.
 
     Null and blank texts have an empty set (n_shingles 0) and are their own component; repeated doc_ids count as rows of
