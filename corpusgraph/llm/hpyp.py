@@ -34,24 +34,25 @@ PART_ENTRIES = 1 << 21  # of a bucket's (document, word, context) entries that o
 EXACT = 256  # customers of a dish up to which the number of its tables is drawn exactly
 _END = U(0x9AE16A3B2F90404F)
 _START = U(0xC949D7C7509E6557)
+_HOME = U(0x2545F4914F6CDD1D)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Chunks of (doc_ids, held, tokens of each document, word hash, context, document index)."""
+    """Chunks of (doc_ids, held, tokens of each document, distinct words, contexts, word, context and document of each token).
+
+    A token's word is a place in the distinct words, its context one in the contexts: those after each word, then the start's.
+    """
     ids, held, sizes, words, size, docs = [], [], [], [], 0, 0
     for batch in batches:
         key = batch.column("doc_id").cast(pa.int64())
         flag = batch.column("held_out").to_numpy(zero_copy_only=False)
         for block in blocks(batch.column("text"), 1 << 19):
             n = len(block.count)
-            ends = block.at[1:] + np.arange(n)
             w = np.insert(block.hash, block.at[1:], _END)
-            before = np.concatenate([[_START], w[:-1]])
-            before[np.concatenate([[0], ends[:-1] + 1])] = _START
             ids.append(key.slice(block.first, n))
             held.append(flag[block.first : block.first + n])
             sizes.append(block.count + 1)
-            words.append((w, (mix(before) >> U(32)).astype(np.uint32)))
+            words.append(w)
             size, docs = size + len(w), docs + n
             if size >= CHUNK_TOKENS or docs >= CHUNK_DOCS // 2:
                 yield from _cut(ids, held, sizes, words)
@@ -62,11 +63,35 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _cut(ids, held, sizes, words) -> Iterator[tuple]:
     key, flag, count = pa.concat_arrays(ids), np.concatenate(held), np.concatenate(sizes)
-    w, k = (np.concatenate([x[j] for x in words]) for j in (0, 1))
+    w = np.concatenate(words)
     for a in range(0, len(count), CHUNK_DOCS):  # a block of empty texts may hold more documents than a chunk
         b = min(len(count), a + CHUNK_DOCS)
         lo, hi = int(count[:a].sum()), int(count[:b].sum())
-        yield key.slice(a, b - a), flag[a:b], count[a:b], w[lo:hi], k[lo:hi], np.repeat(np.arange(b - a), count[a:b])
+        own, place = distinct(w[lo:hi])
+        before = np.roll(place, 1)
+        before[np.cumsum(count[a:b]) - count[a:b]] = len(own)
+        contexts = (mix(np.append(own, _START)) >> U(32)).astype(np.uint32)
+        yield key.slice(a, b - a), flag[a:b], count[a:b], own, contexts, place, before, np.repeat(np.arange(b - a), count[a:b])
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of x in order, and where each of x is among them.
+
+    Upper bits and places are sorted as one number, much faster than places by their numbers; should two different numbers
+    have the same upper bits, np.unique does it.
+    """
+    bits = max(1, (len(x) - 1).bit_length())
+    low = U((1 << bits) - 1)
+    order = (np.sort((x & ~low) | np.arange(len(x), dtype=np.uint64)) & low).astype(np.int64)
+    there = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = there[1:] != there[:-1]
+    out = there[new]
+    if len(out) > 1 and not ((out[1:] ^ out[:-1]) & ~low).all():
+        return np.unique(x, return_inverse=True)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return out, place
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -86,7 +111,7 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 
 def _home(words: np.ndarray, place: np.ndarray, k: np.ndarray, buckets: int, heavy: np.ndarray) -> np.ndarray:
     """The bucket of each (word, context); heavy words are spread by context."""
-    home = (mix(words ^ U(0x2545F4914F6CDD1D)) % U(buckets)).astype(np.int64)[place]
+    home = (mix(words ^ _HOME) % U(buckets)).astype(np.int64)[place]
     if len(heavy):
         salted = np.isin(words, heavy)[place]
         home[salted] = (home[salted] + k[salted]) % buckets
@@ -95,10 +120,12 @@ def _home(words: np.ndarray, place: np.ndarray, k: np.ndarray, buckets: int, hea
 
 def _dealt(home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, its places) for the buckets that have any."""
-    order = np.argsort(home, kind="stable")
-    cut = np.flatnonzero(np.diff(home[order], prepend=-1))
+    bits = max(1, len(home).bit_length())
+    order = np.sort((home << bits) | np.arange(len(home)))  # stable, and faster than a sort of places
+    home, order = order >> bits, order & ((1 << bits) - 1)
+    cut = np.flatnonzero(np.diff(home, prepend=-1))
     for a, b in zip(cut, [*cut[1:], len(order)]):
-        yield int(home[order[a]]), order[a:b]
+        yield int(home[a]), order[a:b]
 
 
 def _grouped(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,14 +141,13 @@ def _counts(buckets: int, heavy: np.ndarray):
     """Rows of a chunk's (word, context) pairs with their training tokens, for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held, _, w, k, doc in _tokens(batches):
-            words, place = np.unique(w, return_inverse=True)
-            key = (place.astype(np.uint64) << U(32)) | k
-            order = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.diff(key[order], prepend=~key[order[0]]))
-            train = np.add.reduceat(~held[doc[order]], first, dtype=np.int64)
-            entries = np.diff(np.append(first, len(key)))
-            place, k = place[order[first]], k[order[first]]
+        for _, held, _, words, contexts, place, before, doc in _tokens(batches):
+            bits = len(words).bit_length()
+            key = np.sort((((place << bits) | before) << 1) | held[doc])
+            first, entries = _grouped(key >> 1)
+            train = np.add.reduceat(1 - (key & 1), first)
+            pair = key[first] >> 1
+            place, k = pair >> bits, contexts[pair & ((1 << bits) - 1)]
             rows = []
             for b, mine in _dealt(_home(words, place, k, buckets, heavy)):
                 first, many = _grouped(place[mine])
@@ -144,15 +170,23 @@ def _entries(buckets: int, heavy: np.ndarray, salts: dict[int, int], part_of: in
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for number, (ids, held, count, w, k, doc) in enumerate(_tokens(batches)):
+        for number, (ids, held, count, words, contexts, place, before, doc) in enumerate(_tokens(batches)):
             chunk = (part << 24) + number
-            words, place = np.unique(w, return_inverse=True)
-            key = (place.astype(np.uint64) << U(32)) | k
-            order = np.argsort(key, kind="stable")  # documents stay in order
-            key, doc = key[order], doc[order]
-            first = np.flatnonzero((np.diff(key, prepend=~key[0]) != 0) | (np.diff(doc, prepend=-1) != 0))
-            tf = np.diff(np.append(first, len(key)))
-            place, k, d = place[order[first]], k[order[first]], doc[first].astype(np.uint16)
+            mine = mix(words ^ _HOME) % U(buckets) % U(SLICES) == part_of
+            mine = (mine | np.isin(words, heavy))[place]  # the others have no entries in this slice
+            place, before, doc = place[mine], before[mine], doc[mine]
+            bits = len(words).bit_length()
+            if bits <= 24:
+                key = np.sort((place << (bits + 15)) | (before << 15) | doc)
+                first, tf = _grouped(key)
+                key = key[first]
+                place, before, d = key >> (bits + 15), (key >> 15) & ((1 << bits) - 1), (key & 32767).astype(np.uint16)
+            else:
+                order = np.lexsort((doc, before, place))
+                place, before, doc = place[order], before[order], doc[order]
+                first, tf = _grouped(np.cumsum((np.diff(place, prepend=-1) != 0) | (np.diff(before, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)))
+                place, before, d = place[first], before[first], doc[first].astype(np.uint16)
+            k = contexts[before]
             table = b"".join((np.array([len(count)], np.int64).tobytes(), ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), held.astype(np.uint8).tobytes(), count.astype(np.int64).tobytes()))
             rows = []
             home = _home(words, place, k, buckets, heavy)
@@ -172,10 +206,10 @@ def _common(buckets: int):
     """(w, n) of words that have a large share of a batch, and the batch's size as word 0."""
 
     def run(batches):
-        for _, _, _, w, _, _ in _tokens(batches):
-            words, n = np.unique(w, return_counts=True)
-            some = n >= max(8, len(w) // (8 * buckets))
-            yield pa.record_batch([pa.array(np.append(words[some].view(np.int64), 0)), pa.array(np.append(n[some], len(w)).astype(np.int64))], names=["w", "n"])
+        for _, _, _, words, _, place, _, _ in _tokens(batches):
+            n = np.bincount(place)
+            some = n >= max(8, len(place) // (8 * buckets))
+            yield pa.record_batch([pa.array(np.append(words[some].view(np.int64), 0)), pa.array(np.append(n[some], len(place)).astype(np.int64))], names=["w", "n"])
 
     return run
 
@@ -239,7 +273,7 @@ class Bucket:
         self.acc = self.acc if len(self.acc) else np.zeros(len(self.k), np.float32)
         self.number, self.entries = row["bucket"], row["entries"]
         self.word = np.repeat(np.arange(len(self.words)), self.m)
-        self.at = np.searchsorted(self.ctx, self.k)  # of a pair's context in ctx
+        self.at = distinct(self.k.astype(np.uint64) << U(32))[1]  # of a pair's context in ctx
         place = np.searchsorted(heavy, self.words)
         self.heavy = np.flatnonzero(heavy[np.minimum(place, len(heavy) - 1)] == self.words) if len(heavy) else np.zeros(0, np.int64)
         self.heavy_at = place[self.heavy]
@@ -249,12 +283,17 @@ class Bucket:
     def gathered(cls, number: int, chunks: list[dict], heavy: np.ndarray) -> Bucket:
         """From the rows of _counts(); each word that training has begins with a table in each of its contexts, and one in the unigram restaurant."""
         of = lambda name, kind: np.concatenate([np.frombuffer(c[name], kind) for c in chunks])
-        words, place = np.unique(of("w", np.uint64), return_inverse=True)
-        key, at = np.unique((np.repeat(place, np.concatenate([unpacked(c["m"], len(c["w"]) // 8) for c in chunks])).astype(np.uint64) << U(32)) | of("k", np.uint32), return_inverse=True)
+        words, place = distinct(of("w", np.uint64))
+        ctx, at = distinct(of("k", np.uint32).astype(np.uint64) << U(32))
+        ctx, bits = (ctx >> U(32)).astype(np.uint32), len(ctx).bit_length()
+        spare = U(64 - bits - len(words).bit_length())
+        place = np.repeat(place, np.concatenate([unpacked(c["m"], len(c["w"]) // 8) for c in chunks]))
+        key, at = distinct(((place << bits) | at).astype(np.uint64) << spare)
         many = np.concatenate([unpacked(c["c"], len(c["k"]) // 4) for c in chunks])
         c = np.bincount(at, weights=many, minlength=len(key)).astype(np.int64)
-        word, k = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.uint32)
-        ctx, at = np.unique(k, return_inverse=True)
+        key = (key >> spare).astype(np.int64)
+        word, at = key >> bits, key & ((1 << bits) - 1)
+        k = ctx[at]
         known = np.bincount(word, weights=c, minlength=len(words)) > 0
         some = {"m": np.bincount(word, minlength=len(words)), "c": c, "t": np.minimum(c, 1), "r": known, "own": np.zeros(len(ctx)), "cust": np.bincount(at, weights=c, minlength=len(ctx))}
         row = {name: packed(x.astype(np.int64)) for name, x in some.items()} | {"words": words.tobytes(), "k": k.tobytes(), "acc": b"", "ctx": ctx.tobytes()}
@@ -352,7 +391,7 @@ def _ranges(groups: int):
 def _added(table: pa.Table) -> pa.Table:
     """The totals of a range of contexts, as each bucket asked for them."""
     ctx = [np.frombuffer(x.as_py(), np.uint32) for x in table["ctx"]]
-    _, at = np.unique(np.concatenate(ctx), return_inverse=True)
+    _, at = distinct(np.concatenate(ctx).astype(np.uint64) << U(32))
     cut = np.cumsum([len(x) for x in ctx])[:-1]
 
     def total(name: str) -> pa.Array:

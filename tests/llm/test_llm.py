@@ -262,6 +262,15 @@ def test_seating_is_exact():
     assert 1 <= large[0] <= 10**6 and 1 <= large[1] <= 100 and large[2:].tolist() == [1, 0]
 
 
+def test_distinct_numbers():
+    """As np.unique, also where different numbers share the upper bits that are sorted."""
+    rng = np.random.default_rng(4)
+    head = np.uint64(7 << 40)
+    for x in (rng.integers(0, 1 << 63, 1000).astype(np.uint64)[rng.integers(0, 300, 5000)], head + rng.integers(0, 9, 500).astype(np.uint64), np.full(3, head), np.array([2**64 - 1, 0, 2**64 - 1], np.uint64), np.zeros(0, np.uint64)):
+        got, want = hpyp.distinct(x), np.unique(x, return_inverse=True)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def test_packed_numbers():
     for x in ([], [0, 0], [1, 255, 256, 0], [2**40, 7]):
         assert hpyp.unpacked(hpyp.packed(np.array(x, np.int64)), len(x)).tolist() == x
