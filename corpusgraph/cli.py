@@ -5,11 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import document, integrity, report
+from corpusgraph.functions.model import JsonModel, configured
+from corpusgraph.operators import document, integrity, replay, report
 from corpusgraph.operators.keyed import Snapshots
 
 #: The store's tables and columns.
@@ -21,8 +23,8 @@ TABLES = {
     "claims": "id long, subject_id long, relation string, object_id long",
     "evidence": "id long, entity_id long, claim_id long, target_key string, source_id long, excerpt_hash string, passage_ids string, passage_version string, excerpt string, model_quote string, location string, polarity string, observed_entity_type string, extraction_model string, extraction_prompt_version string, validator_model string, validator_prompt_version string, validator_verdict string, validator_reason string",
     "entity_observations": "id long, entity_id long, name string, definition string, observed_entity_type string, aliases string, source_id long, chunk_index int, passage_ids string, location string, source_text string, model_quote string, resolution_outcome string, resolution_reason string, candidate_entity_ids string, resolver_model string, resolver_prompt_version string",
-    "claim_observations": "id long, subject_name string, subject_reference_key string, subject_entity_id long, relation string, object_name string, object_reference_key string, object_entity_id long, polarity string, claim_id long, source_id long, chunk_index int, passage_ids string, location string, source_text string, model_quote string, materialization_error string",
-    "judgments": "id long, observation_id long, validator_model string, prompt_version string, verdict string, reason string",
+    "claim_observations": "id long, subject_name string, subject_reference_key string, subject_entity_id long, relation string, object_name string, object_reference_key string, object_entity_id long, polarity string, claim_id long, source_id long, chunk_index int, passage_ids string, location string, passage_version string, source_text string, model_quote string, extraction_model string, extraction_prompt_version string, materialization_error string",
+    "judgments": "id long, observation_id long, validator_model string, validator_prompt_version string, verdict string, reason string",
     "progress": "seq long, source_id long, chunk_index int, chunk_hash string, status string, result string, updated_at timestamp",
     "rejections": "id long, source_id long, chunk_index int, message string",
 }
@@ -66,13 +68,16 @@ def audit(t: dict[str, DataFrame], detail: int = 500) -> dict:
     }
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """0: done; 1: check found something; 2: the message on standard error says what failed."""
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, build: Callable[[], JsonModel] | None = None) -> int:
+    """build makes the model, else the environment names one (functions.model.configured). 0: done; 1: check found something; 2: the message on standard error says what failed."""
     parser = argparse.ArgumentParser(prog="corpusgraph")
     parser.add_argument("--store", required=True)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("init", "status", "check", "audit", "export", "viz"):
+    for name in ("init", "status", "check", "audit", "export", "viz", "replay-pending"):
         one = commands.add_parser(name)
+        if name == "replay-pending":
+            one.add_argument("--limit", type=int)
+            one.add_argument("--workers", type=int, default=1)
         if name in ("export", "viz"):
             one.add_argument("--out", required=True)
     args = parser.parse_args(argv)
@@ -85,6 +90,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command in ("export", "viz"):
             (document.write_json if args.command == "export" else document.write_html)(t, args.out)
             return 0
+        if args.command == "replay-pending":
+            changed, counts = replay.replay(t, build or configured(), args.workers, args.limit)
+            store.commit(**changed)
+            print(json.dumps({**counts, "pending": status(opened(store))["observations"]}, ensure_ascii=False, indent=2))
+            return 0
         told = {"init": lambda: status(t)["counts"], "status": lambda: status(t), "check": lambda: check(t), "audit": lambda: audit(t)}[args.command]()
         print(json.dumps(told, ensure_ascii=False, indent=2, default=str))
         return 0 if told.get("ok", True) else 1

@@ -33,7 +33,10 @@ def outcomes(observations: DataFrame, judgments: DataFrame, claims: DataFrame, v
 
 
 def materialize(observations: DataFrame, judgments: DataFrame, claims: DataFrame, acyclic: tuple[str, ...] = ("is_a", "prerequisite_of"), validator: tuple[str, str] | None = None) -> DataFrame:
-    """(id, outcome) after admission in id order: a new edge that is a loop, or closes a cycle of an acyclic relation, is blocked."""
+    """(id, outcome) after admission in id order: a new edge that is a loop, or closes a cycle of an acyclic relation, is blocked.
+
+    An opposing observation needs a claim that is there, or that a supporting one of a lower id makes.
+    """
     rows = outcomes(observations, judgments, claims, validator)
     new = rows.where("outcome = 'admissible' and there is null").select("id", F.col("subject_entity_id").alias("s"), "relation", F.col("object_entity_id").alias("o"))
     # the first observation of an edge decides; later ones of the same edge share its fate
@@ -45,8 +48,11 @@ def materialize(observations: DataFrame, judgments: DataFrame, claims: DataFrame
         got = graph.admitted(old, first.where(F.col("relation") == r).select("id", "s", "o"))
         refused = refused.unionAll(got.where("not admitted").select("s", F.lit(r).alias("relation"), "o"))
     refused = refused.distinct().select(F.col("s").alias("subject_entity_id"), "relation", F.col("o").alias("object_entity_id"), F.lit(True).alias("refused"))
-    out = rows.join(refused, ["subject_entity_id", "relation", "object_entity_id"], "left")
-    final = F.when(F.col("outcome") == "append", "materialized").when(F.col("outcome") == "admissible", F.when(F.col("refused"), "blocked").otherwise("materialized")).otherwise(F.col("outcome"))
+    ends = ["subject_entity_id", "relation", "object_entity_id"]
+    made = first.select(F.col("s").alias("subject_entity_id"), "relation", F.col("o").alias("object_entity_id"), F.col("id").alias("maker")).join(refused, ends, "left_anti")
+    out = rows.join(refused, ends, "left").join(made, ends, "left")
+    late = (F.col("outcome") == "blocked") & (F.col("maker") < F.col("id"))
+    final = F.when((F.col("outcome") == "append") | late, "materialized").when(F.col("outcome") == "admissible", F.when(F.col("refused"), "blocked").otherwise("materialized")).otherwise(F.col("outcome"))
     return out.select("id", final.alias("outcome"))
 
 

@@ -61,16 +61,17 @@ def expected_verdict() -> Column:
 
 
 def judged(observations: DataFrame, judgments: DataFrame, validator: tuple[str, str] | None = None) -> DataFrame:
-    """observations with the verdict of their latest judgment, null if there is none.
+    """observations with the verdict of the judgment that decides, null if there is none."""
+    return observations.join(deciding(judgments, validator).select(F.col("observation_id").alias("id"), "verdict"), "id", "left")
 
-    Given a validator's (model, prompt version), its judgment counts before later ones of others.
-    """
+
+def deciding(judgments: DataFrame, validator: tuple[str, str] | None = None) -> DataFrame:
+    """The latest judgment of each observation; that of validator (model, prompt version) counts before later ones of others."""
     if validator:
         own = judgments.where((F.col("validator_model") == validator[0]) & (F.col("validator_prompt_version") == validator[1]))
         other = judgments.join(own.select("observation_id").distinct(), "observation_id", "left_anti").select(*judgments.columns)
         judgments = own.unionByName(other)
-    last = latest_judgment(judgments).select(F.col("observation_id").alias("id"), "verdict")
-    return observations.join(last, "id", "left")
+    return latest_judgment(judgments)
 
 
 def observation_report(observations: DataFrame, judgments: DataFrame) -> DataFrame:

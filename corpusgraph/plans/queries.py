@@ -451,9 +451,11 @@ def entity_merge(s):
 
 @query(f"""SELECT o.id, CASE WHEN c.id IS NOT NULL THEN 'already_materialized' WHEN l.verdict IS NULL THEN 'pending_judgment'
  WHEN l.verdict <> CASE WHEN o.polarity='support' THEN 'supports' ELSE 'contradicts' END THEN 'not_supported' WHEN o.subject_entity_id IS NULL OR o.object_entity_id IS NULL THEN 'pending_endpoint'
- WHEN o.polarity='oppose' AND t.id IS NULL THEN 'blocked' WHEN o.polarity='support' AND t.id IS NULL AND o.subject_entity_id=o.object_entity_id THEN 'blocked' ELSE 'materialized' END AS outcome
+ WHEN o.polarity='oppose' AND t.id IS NULL AND NOT coalesce(m.maker < o.id, false) THEN 'blocked' WHEN o.polarity='support' AND t.id IS NULL AND o.subject_entity_id=o.object_entity_id THEN 'blocked' ELSE 'materialized' END AS outcome
  FROM kg_claim_observation o LEFT JOIN kg_claim c ON c.id=o.claim_id LEFT JOIN ({_LATEST.replace("id, validator", "id AS jid, validator")}) l ON l.observation_id=o.id
- LEFT JOIN kg_claim t ON t.subject_id=o.subject_entity_id AND t.relation=o.relation AND t.object_id=o.object_entity_id""")
+ LEFT JOIN kg_claim t ON t.subject_id=o.subject_entity_id AND t.relation=o.relation AND t.object_id=o.object_entity_id
+ LEFT JOIN (SELECT min(w.id) AS maker, subject_entity_id AS s, w.relation AS r, object_entity_id AS e FROM kg_claim_observation w JOIN ({_LATEST.replace("id, validator", "id AS jid, validator")}) k ON k.observation_id=w.id LEFT JOIN kg_claim d ON d.id=w.claim_id
+  WHERE d.id IS NULL AND polarity='support' AND k.verdict='supports' AND subject_entity_id<>object_entity_id GROUP BY ALL) m ON m.s=o.subject_entity_id AND m.r=o.relation AND m.e=o.object_entity_id""")
 def materialize_outcomes(s):
     return materialize.materialize(s("kg_claim_observation"), s("kg_judgment"), s("kg_claim"))
 
