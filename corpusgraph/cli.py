@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.model import JsonModel, configured
-from corpusgraph.operators import document, integrity, replay, report
+from corpusgraph.operators import document, integrity, merge, replay, report
 from corpusgraph.operators.keyed import Snapshots
 
 #: The store's tables and columns.
@@ -73,10 +73,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, build
     parser = argparse.ArgumentParser(prog="corpusgraph")
     parser.add_argument("--store", required=True)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("init", "status", "check", "audit", "export", "viz", "replay-pending"):
+    for name in ("init", "status", "check", "audit", "export", "viz", "replay-pending", "reconcile"):
         one = commands.add_parser(name)
-        if name == "replay-pending":
-            one.add_argument("--limit", type=int)
+        if name in ("replay-pending", "reconcile"):
+            one.add_argument("--limit", type=int, default=None if name == "replay-pending" else 20)
             one.add_argument("--workers", type=int, default=1)
         if name in ("export", "viz"):
             one.add_argument("--out", required=True)
@@ -95,6 +95,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, build
             store.commit(**changed)
             print(json.dumps({**counts, "pending": status(opened(store))["observations"]}, ensure_ascii=False, indent=2))
             return 0
+        if args.command == "reconcile":
+            if not (build := build or configured()):
+                raise ValueError("reconcile needs a model")
+            changed, counts = merge.reconcile(t, build, args.workers, args.limit)
+            store.commit(**changed)
+            print(json.dumps(counts, ensure_ascii=False, indent=2))
+            return 0
         told = {"init": lambda: status(t)["counts"], "status": lambda: status(t), "check": lambda: check(t), "audit": lambda: audit(t)}[args.command]()
         print(json.dumps(told, ensure_ascii=False, indent=2, default=str))
         return 0 if told.get("ok", True) else 1
