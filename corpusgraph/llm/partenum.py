@@ -3,8 +3,11 @@
 Sets of shingle hashes are put in bands of about equal size. Two sets of a band pair whose Jaccard similarity reaches the
 threshold differ in at most k elements. The hash domain is cut into n1 parts, so that in some part at most k2 of them
 differ; each part is cut into n2 again, and every subset of n2 - k2 of these gives one signature of the elements in it. Two
-such sets share a signature, so equal signatures find every pair. There are a few spare parts: then as many signatures of
-parts without elements may be left out, and no signature stands for "nothing here".
+such sets share a signature, so equal signatures find every pair. With parts cut in halves, at most k of the halves differ, so
+with a few spare parts two such sets share more signatures than one. Each set may then leave out as many, less one, as long
+as all leave out the first ones by one order of all signatures: the last that two sets share is never left out. The first
+are those of halves without elements, then those that most sets have, such as a half with one frequent shingle only.
+Without that, what a signature's sets are compared for grows with the square of the table.
 """
 
 from __future__ import annotations
@@ -29,16 +32,21 @@ FILTER_BITS = 1 << 25  # fixed size of the filter of wanted sets: 4 MB, whatever
 
 
 @lru_cache(maxsize=4096)
-def plan(top: int, upper: int, percent: int) -> tuple[int, int, int, int, int] | None:
-    """(k, n1, k2, n2, spare) for two sets of at most top and upper elements; None if only equal sets can be similar."""
+def plan(top: int, upper: int, percent: int) -> tuple[int, int, int, int, int, int] | None:
+    """(k, n1, k2, n2, empty, crowded) for two sets of at most top and upper elements; None if only equal sets can be similar.
+
+    A set may leave out as many signatures of halves without elements, and as many of those that most sets have.
+    """
     k = (100 - percent) * (top + upper) // (100 + percent)
     if k == 0:
         return None
     if k <= 3:
-        return k, 1, k, k + (2 if k == 1 else 3), 0
+        return k, 1, k, k + (2 if k == 1 else 3), 0, 0
     parts = (k + 2) // 2
-    spare = max(2, -(-parts // 25))
-    return k, parts + spare, 1, 2, spare
+    n1 = parts + max(3, -(-parts // 12))
+    out = 2 * n1 - k - 1  # similar sets share one more signature at least
+    crowded = min(15, out - out // 3)
+    return k, n1, 1, 2, out - crowded, crowded
 
 
 @lru_cache(maxsize=4096)
@@ -61,21 +69,25 @@ def bands(n: int, percent: int) -> tuple[tuple[int, int, int], ...]:
 def sketch_class(top: int) -> int:
     """log2 of the 64-bit words of the parity sketches in which sets of at most top elements are compared.
 
-    About a bit for each element tells most sets apart. Short sets have few signatures, and near the threshold differ in few
-    elements, no two of which should meet in a cell: they get more.
+    About a bit for each element tells most sets apart. Near the threshold sets differ in few elements, no two of which should
+    meet in a cell: 2048 bits at least let hardly a pair pass that isn't similar, in large groups of sets that almost are.
     """
-    return 5 if top <= 128 else max(3, (top - 1).bit_length() - 6)
+    return max(5, (top - 1).bit_length() - 6)
 
 
 def signatures(items: np.ndarray, percent: int) -> np.ndarray:
-    """PartEnum signatures of one set, given as distinct uint64 hashes; the last four bits are the band pair's sketch class."""
+    """PartEnum signatures of one set, given as distinct uint64 hashes.
+
+    The last four bits are the band pair's sketch class, four more how many crowded ones may be left out, and two more tell
+    a set's band pairs apart.
+    """
     out = []
     where = mix(items ^ U(0x5851F42D4C957F2D)) >> U(16)
     value = mix(items + U(0x14057B7EF767814F))
     for pair, top, upper in bands(len(items), percent):
         if (how := plan(top, upper, percent)) is None:
             continue
-        _, n1, k2, n2, spare = how
+        _, n1, k2, n2, empty, crowded = how
         cell = (where % U(n1 * n2)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         total = np.zeros(len(items) + 1, dtype=np.uint64)
@@ -88,10 +100,9 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
         for s, subset in enumerate(combinations(range(n2), n2 - k2)):
             got.append(mix(sums[:, subset].sum(axis=1, dtype=np.uint64) + mix(name + U(s + 1))))
             has.append(full[:, subset].sum(axis=1) > 0)
-        got, has = np.stack(got, axis=1), np.stack(has, axis=1)
-        # a part counts as empty if any of its signatures is: up to spare of these can't hide a pair
-        got = got[has] if (~has.all(axis=1)).sum() <= spare else got.ravel()
-        out.append((got & ~U(15)) | U(min(15, sketch_class(top))))
+        got, has = np.concatenate(got), np.concatenate(has)
+        has[np.flatnonzero(~has)[empty:]] = True
+        out.append((got[has] & ~U(1023)) | U(pair % 4 << 8 | crowded << 4 | min(15, sketch_class(top))))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -222,6 +233,16 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return found.select("a", "b").distinct()
 
 
+def _met(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(sig, node, many): the signatures that different sets share, each set without its crowded ones; many rows had sig."""
+    signed = docs.select("text").mapInArrow(_signed(width, percent), "sig long, node long")
+    bucket = W.partitionBy("sig")
+    met = signed.select("*", F.min("node").over(bucket).alias("lo"), F.max("node").over(bucket).alias("hi"), F.count("*").over(bucket).alias("many"))
+    met = met.where("lo <> hi").groupBy("sig", "node").agg(F.first("many").alias("many"))
+    order = W.partitionBy("node", F.expr("sig & 768")).orderBy(F.desc("many"), "sig")
+    return met.withColumn("place", F.row_number().over(order)).where("place > (sig & 240) / 16").drop("place")
+
+
 def _partners(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """For each set, how many similar ones it meets, if those at left meet those at right; the same places are met once."""
     size = np.array([len(x) for x in sets])
@@ -302,11 +323,12 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, links
 
     A document's set holds its distinct shingles of width words; two documents link when 100 * intersection >= percent *
     union. component_id is the smallest doc_id that links reach. n_links counts the different sets that link to the
-    document's set. Documents with equal sets share one node. Each signature's sets are first compared with the set that
-    shares most signatures; after that, only sets of one signature that aren't connected yet are compared with each other,
-    so every link between components is found without all pairs of a group; groups of more than HOT sets are spread over
-    tasks. Before sets are compared, their sizes and parity sketches, of a bit or more for each element, must allow the
-    similarity. Links are then counted among all sets of each component.
+    document's set. Documents with equal sets share one node. Each set leaves out the signatures that most sets have, as many
+    as can't hide a link. A signature's sets are first compared with the set that shares most signatures; after that, only
+    sets of one signature that aren't connected yet are compared with each other, so every link between components is found
+    without all pairs of a group; groups of more than HOT sets are spread over tasks. Before sets are compared, their sizes
+    and parity sketches, of a bit or more for each element, must allow the similarity. Links are then counted among all sets
+    of each component.
 
     Null and blank texts have an empty set (n_shingles 0) and are their own component; repeated doc_ids count as rows of
     one document; a null doc_id gives a null component_id of its own unless linked; other columns, whatever their names,
@@ -318,10 +340,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, links
     nodes = staged(known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("lower").alias("lower"), F.min("chk").alias("c1"), F.max("chk").alias("c2"), F.max("n_shingles").alias("n2")))
     if nodes.where("c1 <> c2 or n <> n2").limit(1).count():
         raise ValueError("two different sets share a 64-bit hash: change the constants of _node")
-    signed = docs.select("text").mapInArrow(_signed(width, percent), "sig long, node long")
-    bucket = W.partitionBy("sig")
-    met = signed.select("*", F.min("node").over(bucket).alias("lo"), F.max("node").over(bucket).alias("hi"), F.count("*").over(bucket).alias("many"))
-    shared = staged(met.where("lo <> hi").groupBy("sig", "node").agg(F.first("many").alias("many")))
+    shared = staged(_met(docs, width, percent))
     weight = shared.groupBy("node").agg(F.sum("many").alias("weight"))
     # of a signature's sets, the one that shares most leads: a partial aggregate, so that a hot signature is no single task
     first = shared.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))

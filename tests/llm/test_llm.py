@@ -95,6 +95,49 @@ def test_signatures_find_every_pair():
             assert len(np.intersect1d(partenum.signatures(a, 85), partenum.signatures(b, 85)))
 
 
+def lined_docs():
+    """Texts with a line that all have and two that many have, among them chains of pairs about the threshold."""
+    rng = np.random.default_rng(8)
+    line = [" ".join(f"{c}{i}" for i in range(9)) for c in "xyz"]
+    rows = []
+    for i in range(400):
+        w = [f"r{x}" for x in rng.integers(0, 1 << 40, int(rng.integers(20, 120)))]
+        at = int(rng.integers(0, len(w)))
+        while len(rows) < 3 * i + 3:
+            rows.append((len(rows), " ".join([*w[:at], line[0], *w[at:], *(line[k] for k in (1, 2) if (i >> k) % 3 == 0)])))
+            if i % 4:
+                w = [f"r{x}" for x in rng.integers(0, 1 << 40, len(w))]
+            else:
+                w[int(rng.integers(0, len(w)))] = f"n{len(rows)}"
+    return rows
+
+
+@pytest.mark.parametrize(("percent", "width"), [(80, 5), (85, 4)])
+def test_jaccard_leaves_out_crowded_signatures(spark, percent, width):
+    rows = lined_docs()
+    df = spark.createDataFrame(rows, DOC)
+    met = partenum._met(df, width, percent).select("sig", "node").distinct().toPandas()
+    assert met.groupby("sig").size().max() < 9  # 33 and 15 sets before crowded ones were left out
+    got = {r["doc_id"]: r["component_id"] for r in partenum.jaccard_components(df, percent, width, links=False).collect()}
+    want = {d: c for d, (_, c) in brute_components(rows, percent, width).items()}
+    assert got == want and 20 < len(rows) - len(set(want.values()))
+
+
+def test_similar_sets_share_more_signatures_than_are_left_out():
+    rng = np.random.default_rng(6)
+    for percent in (80, 85):
+        for _ in range(300):
+            n = int(rng.integers(5, 900))
+            a = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+            gone = n * (100 - percent) // (100 + percent)
+            b = np.concatenate([a[gone:], rng.integers(1, 1 << 63, int(rng.integers(0, gone + 1)), dtype=np.uint64)])
+            b = np.unique(b)
+            if np.array_equal(a, b) or 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+                continue
+            both = np.intersect1d(partenum.signatures(a, percent), partenum.signatures(b, percent))
+            assert any(np.count_nonzero(both >> 8 & 3 == pair) > (both[both >> 8 & 3 == pair] >> 4 & 15).max(initial=0) for pair in range(4))
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
