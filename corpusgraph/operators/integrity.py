@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import graph
+from corpusgraph.operators.keyed import written
 
 #: (child, column, parent) of the store's references; parents are named by id.
 REFERENCES = (
@@ -23,11 +24,11 @@ REFERENCES = (
 
 
 def without_evidence(entities: DataFrame, evidence: DataFrame) -> DataFrame:
-    return entities.join(evidence.where("entity_id is not null").select(F.col("entity_id").alias("id")), "id", "left_anti")
+    return entities.join(evidence.where("entity_id is not null").select(F.col("entity_id").alias("id")).hint("merge"), "id", "left_anti")
 
 
 def without_support(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    return claims.join(evidence.where("polarity = 'support' and claim_id is not null").select(F.col("claim_id").alias("id")), "id", "left_anti")
+    return claims.join(evidence.where("polarity = 'support' and claim_id is not null").select(F.col("claim_id").alias("id")).hint("merge"), "id", "left_anti")
 
 
 def broken_claim_observations(observations: DataFrame, claims: DataFrame) -> DataFrame:
@@ -38,11 +39,22 @@ def broken_claim_observations(observations: DataFrame, claims: DataFrame) -> Dat
 
 
 def missing_parents(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    return child.where(F.col(column).isNotNull()).join(parent.select(F.col("id").alias(column)), column, "left_anti")
+    """Rows of child whose parent is gone; merged, as ids take a driver more memory than the files that they come from."""
+    return child.where(F.col(column).isNotNull()).join(parent.select(F.col("id").alias(column)).hint("merge"), column, "left_anti")
+
+
+def evidence_links(evidence: DataFrame) -> DataFrame:
+    """(entity_id, claim_id, polarity, cg_rows): all that the checks ask of evidence, written once for all of them."""
+    return written(evidence.groupBy("entity_id", "claim_id", "polarity").agg(F.count("*").alias("cg_rows")))
 
 
 def reference_violations(tables: dict[str, DataFrame]) -> DataFrame:
-    found = [missing_parents(tables[c], k, tables[p]).agg(F.lit(c).alias("child"), F.lit(k).alias("col"), F.lit(p).alias("parent"), F.count("*").alias("n")) for c, k, p in REFERENCES]
+    if "cg_rows" not in tables["kg_evidence"].columns:
+        tables = tables | {"kg_evidence": evidence_links(tables["kg_evidence"])}
+    found = []
+    for c, k, p in REFERENCES:
+        n = F.coalesce(F.sum("cg_rows"), F.lit(0)) if "cg_rows" in tables[c].columns else F.count("*")
+        found.append(missing_parents(tables[c], k, tables[p]).agg(F.lit(c).alias("child"), F.lit(k).alias("col"), F.lit(p).alias("parent"), n.alias("n")))
     return reduce(DataFrame.unionAll, found)
 
 
@@ -53,6 +65,7 @@ def cycles(claims: DataFrame, relations: tuple[str, ...] = ("is_a", "prerequisit
 
 
 def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
+    tables = tables | {"kg_evidence": evidence_links(tables["kg_evidence"])}
     part = lambda name, df: df.agg(F.lit(name).alias("issue"), F.count("*").alias("n"))
     return reduce(
         DataFrame.unionAll,

@@ -11,16 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder that spark.checkpoint.dir names; one of our own only on a local master."""
-    sc = df.sparkSession.sparkContext
+def checkpointing(spark: SparkSession) -> None:
+    """Sets the shared folder that spark.checkpoint.dir names as that of checkpoints; one of our own only on a local master."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        at = spark.conf.get("spark.checkpoint.dir", None)
         if at is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             at = os.path.join(tempfile.gettempdir(), f"corpusgraph-{uuid.uuid4().hex}")
         sc.setCheckpointDir(at)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder."""
+    checkpointing(df.sparkSession)
     return df.checkpoint()
 
 
@@ -48,16 +53,30 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: str) -> Da
     return last_by_key(both, keys, "cg_late", order).drop("cg_late")
 
 
-def with_ids(rows: DataFrame, start: int, *order: str) -> DataFrame:
-    """rows with dense ids from start + 1 in the given order.
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in a new folder beside the checkpoints, written in one pass and read back."""
+    checkpointing(df.sparkSession)
+    at = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def with_ids(rows: DataFrame, start: int, *order: str, keep: list[str] | None = None) -> DataFrame:
+    """rows (of keep, the columns kept) with dense ids from start + 1 in the given order.
 
-    Rows are dealt by range; the counts of the parts, a small table, give each part its first id.
+    Rows are dealt by range, sorted and written once, each with its part and its place in it; the counts of the parts, one
+    number a part, give each part its first id.
     """
-    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("cg_part", F.spark_partition_id()))
-    part = dealt.groupBy("cg_part").agg(F.count("*").alias("n"))
-    part = part.select("cg_part", (F.sum("n").over(W.orderBy("cg_part")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(W.partitionBy("cg_part").orderBy(*order))
-    return dealt.withColumn("rn", inside).join(F.broadcast(part), "cg_part").withColumn("id", F.col("before") + F.col("rn") + start).drop("cg_part", "rn", "before")
+    keep = rows.columns if keep is None else keep
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = written(sorted_rows.select(*keep, F.monotonically_increasing_id().alias("cg_at")))
+    part = F.shiftright("cg_at", 33)
+    counts = dict(dealt.groupBy(part.alias("part")).agg(F.count("*")).collect())
+    before = [start]
+    for k in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(k, 0))
+    first = F.expr(f"array({','.join(f'{n}L' for n in before)})")[part.cast("int")]
+    return dealt.select(*keep, (first + F.col("cg_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("id"))
 
 
 def moved(spark: SparkSession, source: str, target: str) -> bool:
