@@ -3,7 +3,8 @@
 import pytest
 
 from corpusgraph.fixtures import Store
-from corpusgraph.operators import integrity
+from corpusgraph.operators import integrity, resolve
+from corpusgraph.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +34,18 @@ def test_reference_checks_read_evidence_once(spark):
     s = Store(spark, SF)
     tables = {n: s(n) for n in ("kg_source", "kg_entity", "kg_alias", "kg_claim", "kg_evidence", "kg_entity_observation", "kg_claim_observation", "kg_judgment")}
     assert plan(integrity.reference_violations(tables)).count("Window") == 0
+
+
+def test_containment_broadcasts_no_names(spark):
+    assert "Broadcast" not in plan(QUERIES["containment_entities"](spark, SF))
+
+
+@pytest.mark.parametrize("copies", [1, 70])
+def test_containment_gives_each_pair_once(spark, copies):
+    """Ids with several names that match in several ways, and one with over 64 names; a name of over 1024 entities."""
+    q = [(1, "red bolt"), (1, "bolt"), (2, "green ring"), (3, None), (4, ""), (5, "xx")]
+    n = [(10, "bolt"), (10, "red bolt 5"), (10, "red"), (11, "ring"), (12, "e"), (13, ""), (14, None), *((100 + i, "x x") for i in range(1500)), *((15, f"red{i}") for i in range(copies))]
+    got = sorted((r[0], r[1]) for r in resolve.containing(spark.createDataFrame(q, "query_id long, name string"), spark.createDataFrame(n, "entity_id long, name string")).collect())
+    tight = lambda x: (x or "").replace(" ", "")
+    want = {(i, e) for i, x in q for e, y in n if tight(x) and tight(y) and (tight(x) in tight(y) or tight(y) in tight(x))}
+    assert got == sorted(want)
