@@ -1,5 +1,7 @@
 """Steps that must not meet in one task, one driver or one pass for each row, and give what they gave before."""
 
+import random
+
 import pytest
 
 from corpusgraph.fixtures import Store
@@ -49,3 +51,22 @@ def test_containment_gives_each_pair_once(spark, copies):
     tight = lambda x: (x or "").replace(" ", "")
     want = {(i, e) for i, x in q for e, y in n if tight(x) and tight(y) and (tight(x) in tight(y) or tight(y) in tight(x))}
     assert got == sorted(want)
+
+
+def test_few_names_are_scored_exactly(monkeypatch):
+    """The k best of brute force, also of names with spaces, NULs, over 63 and over 256 characters, by few exact scores."""
+    r, calls = random.Random(5), []
+    names = list({"".join(r.choice("abc é\0d") for _ in range(r.choice([0, 1, 3, 8, 20, 63, 64, 70, 300]))) for _ in range(150)} | {f"large ring #{i}" for i in range(2000)})
+    asked, ratio = [*names[::60], "a" * 400, "large ring #7"], resolve.SequenceMatcher.ratio
+    monkeypatch.setattr(resolve.SequenceMatcher, "ratio", lambda self: calls.append(1) or ratio(self))
+    got = {a: best for a, best, _ in resolve._best(asked, [0.35] * len(asked), names, [[i] for i in range(len(names))], 0.35, 5, 0.55)}
+    assert len(calls) < 0.3 * len(asked) * len(names)
+    k_best = lambda x: sorted((-round(v, 4), e) for e, v in x.items())[:5]
+    for a in asked:
+        want, ac = {}, a.replace(" ", "")
+        for i, b in enumerate(names):
+            bc = b.replace(" ", "")
+            score = ratio(resolve.SequenceMatcher(None, a, b))
+            score = max(score, 0.55) if ac and bc and (ac in bc or bc in ac) else score
+            want |= {i: score} if score >= 0.35 else {}
+        assert k_best(got[a]) == k_best(want)
