@@ -3,26 +3,30 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.operators.keyed import cut
+from corpusgraph.operators.keyed import cut, written
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """edges(s, o) -> every (s, o) joined by a path of one edge or more, by path doubling."""
-    reach = cut(edges.select("s", "o").distinct())
-    n = reach.count()
-    while n:
-        a, b = reach.select(F.col("s").alias("a"), F.col("o").alias("b")), reach.select(F.col("s").alias("c"), F.col("o").alias("d"))
-        grown = cut(reach.unionAll(a.join(b, F.col("b") == F.col("c")).select(F.col("a").alias("s"), F.col("d").alias("o"))).distinct())
-        m = grown.count()
-        reach = grown
-        if m == n:
-            break
-        n = m
-    return reach
+    """edges(s, o) -> every (s, o) joined by a path of one edge or more.
+
+    A round doubles the length of the paths known, and joins only those of exactly the longest length with all: each pair
+    comes by its shortest path, once a middle. A pair is written once, in the round that finds it.
+    """
+    known, at = [written(edges.select("s", "o", F.lit(1).alias("d")).distinct())], 1
+    while True:
+        reach = reduce(DataFrame.unionAll, known)
+        longest = known[-1].where(F.col("d") == at)
+        if longest.isEmpty():
+            return reach.select("s", "o")
+        ends = reach.select(F.col("s").alias("m"), F.col("o").alias("e"), F.col("d").alias("more"))
+        grown = longest.select("s", F.col("o").alias("m")).join(ends.hint("merge"), "m").groupBy("s", F.col("e").alias("o")).agg(F.min("more").alias("more"))
+        known.append(written(grown.join(reach.select("s", "o").hint("merge"), ["s", "o"], "left_anti").select("s", "o", (F.lit(at) + F.col("more")).alias("d"))))
+        at *= 2
 
 
 def core(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from corpusgraph.fixtures import Store
-from corpusgraph.operators import integrity, resolve
+from corpusgraph.operators import graph, integrity, resolve
 from corpusgraph.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,17 @@ def test_few_names_are_scored_exactly(monkeypatch):
             score = max(score, 0.55) if ac and bc and (ac in bc or bc in ac) else score
             want |= {i: score} if score >= 0.35 else {}
         assert k_best(got[a]) == k_best(want)
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(i, (i + 1) % 13) for i in range(13)] + [(3, 20), (20, 21), (21, 5), (30, 31)], [(r, r * 7 % 23) for r in range(23)] + [(r, r * 3 % 23) for r in range(9)]])
+def test_closure_and_cycles_of_paths_and_cycles(spark, edges):
+    after = {s: {o for x, o in edges if x == s} for s, _ in edges}
+    want = set()
+    for s in after:
+        todo, seen = list(after[s]), set(after[s])
+        while todo:
+            todo.extend(x for x in after.get(todo.pop(), ()) if x not in seen and not seen.add(x))
+        want |= {(s, o) for o in seen}
+    df = spark.createDataFrame([(i, *e) for i, e in enumerate(edges)], "id long, s long, o long")
+    assert sorted((r["s"], r["o"]) for r in graph.closure(df).collect()) == sorted(want)
+    assert sorted(r["id"] for r in graph.cycle_edges(df).collect()) == sorted(i for i, (s, o) in enumerate(edges) if (o, s) in want or s == o)
