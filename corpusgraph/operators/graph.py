@@ -30,12 +30,15 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def core(edges: DataFrame) -> DataFrame:
-    """edges(id, s, o) without those that a cycle can't hold: ends without an edge in or out go until none is left."""
-    now = cut(edges)
+    """edges(id, s, o) without those that a cycle can't hold: ends without an edge in or out go until none is left.
+
+    Each round is merged, not broadcast, and written and counted once: what rounds send to the driver adds up.
+    """
+    now = written(edges)
     n = now.count()
     while n:
-        starts, ends = now.select(F.col("s").alias("k")).distinct(), now.select(F.col("o").alias("k")).distinct()
-        now = cut(now.join(ends, now["s"] == ends["k"], "left_semi").join(starts, now["o"] == starts["k"], "left_semi"))
+        starts, ends = now.select(F.col("s").alias("o")).distinct(), now.select(F.col("o").alias("s")).distinct()
+        now = written(now.join(ends.hint("merge"), "s", "left_semi").join(starts.hint("merge"), "o", "left_semi").select(*edges.columns))
         m = now.count()
         if m == n:
             break
@@ -46,8 +49,8 @@ def core(edges: DataFrame) -> DataFrame:
 def cycle_edges(edges: DataFrame) -> DataFrame:
     """edges(id, s, o) that lie on a directed cycle; self loops do."""
     left = core(edges)
-    pairs = closure(left).select(F.col("s").alias("x"), F.col("o").alias("y"))
-    return left.join(pairs, (left["o"] == pairs["x"]) & (left["s"] == pairs["y"]), "left_semi")
+    pairs = closure(left).select(F.col("s").alias("o"), F.col("o").alias("s"))
+    return left.join(pairs.hint("merge"), ["s", "o"], "left_semi").select(*edges.columns)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -84,3 +84,8 @@ def test_closure_and_cycles_of_paths_and_cycles(spark, edges):
     df = spark.createDataFrame([(i, *e) for i, e in enumerate(edges)], "id long, s long, o long")
     assert sorted((r["s"], r["o"]) for r in graph.closure(df).collect()) == sorted(want)
     assert sorted(r["id"] for r in graph.cycle_edges(df).collect()) == sorted(i for i, (s, o) in enumerate(edges) if (o, s) in want or s == o)
+
+
+def test_cycle_search_broadcasts_nothing(spark):
+    df = graph.cycle_edges(spark.range(30).selectExpr("id", "id as s", "if(id = 9, 0, id + 1) as o"))
+    assert df.count() == 10 and df.collect() and "BroadcastHashJoin" not in plan(df)
