@@ -89,3 +89,8 @@ def test_closure_and_cycles_of_paths_and_cycles(spark, edges):
 def test_cycle_search_broadcasts_nothing(spark):
     df = graph.cycle_edges(spark.range(30).selectExpr("id", "id as s", "if(id = 9, 0, id + 1) as o"))
     assert df.count() == 10 and df.collect() and "BroadcastHashJoin" not in plan(df)
+
+
+def test_pairs_to_reconcile_meet_in_blocks(spark):
+    df = QUERIES["reconcile_pairs"](spark, SF)
+    assert "FlatMapCoGroupsInArrow" in plan(df) and "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
